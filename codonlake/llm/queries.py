@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonlake.llm import copies
+from codonlake.llm import copies, near, overlap
 from codonlake.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,26 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p1_records", f"WITH {_KEYS} SELECT row_id AS kept_row_id, n AS n_copies, sequence, label FROM grouped WHERE row_id = kept")
 def p1_records(spark: SparkSession, sf: str) -> DataFrame:
     return copies.records(read_table(spark, sf, "dev"), "row_id", ["sequence", "label"]).withColumnRenamed("kept_id", "kept_row_id")
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = near.near_duplicates(read_table(spark, sf, "dev"))
+    return found.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+
+
+def _splits(spark: SparkSession, sf: str) -> tuple[list[DataFrame], DataFrame]:
+    return [read_table(spark, sf, "dev"), read_table(spark, sf, "test")], read_table(spark, sf, "train")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = overlap.overlaps(*_splits(spark, sf))
+    return found.select(F.col("eval_id").alias("eval_row_id"), F.col("train_id").alias("train_row_id"))
+
+
+@query("p3_counts")
+def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
+    evaluation, training = _splits(spark, sf)
+    rows = [d.where("row_id is not null").select(F.col("row_id").alias("id"), F.lit(s).alias("split"), "source") for d, s in zip(evaluation, ("dev", "test"), strict=True)]
+    return overlap.overlap_counts(overlap.overlaps(evaluation, training), rows[0].unionByName(rows[1]))
