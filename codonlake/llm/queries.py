@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonlake.llm import copies, near, overlap
+from codonlake.llm import copies, mixing, near, overlap, packing, pieces
 from codonlake.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,83 @@ def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
     evaluation, training = _splits(spark, sf)
     rows = [d.where("row_id is not null").select(F.col("row_id").alias("id"), F.lit(s).alias("split"), "source") for d, s in zip(evaluation, ("dev", "test"), strict=True)]
     return overlap.overlap_counts(overlap.overlaps(evaluation, training), rows[0].unionByName(rows[1]))
+
+
+def _limits(spark: SparkSession, sf: str, profile: str) -> tuple[int, int]:
+    row = read_table(spark, sf, "size_limits").where(F.col("profile") == profile).select("capacity", "overlap_size").first()
+    return int(row["capacity"]), int(row["overlap_size"])
+
+
+_LETTERS = """
+fields AS (
+  SELECT row_id, regexp_replace(upper(coalesce(sequence, '')), '[^A-Z]', '', 'g') AS a,
+         regexp_replace(upper(coalesce(label, '')), '[^A-Z]', '', 'g') AS b FROM dev
+), pure AS (
+  SELECT *, regexp_full_match(a, '[ACGTURYSWKMBDHVN]+') AS pa, regexp_full_match(b, '[ACGTURYSWKMBDHVN]+') AS pb FROM fields
+), lettered AS (
+  SELECT row_id, CASE WHEN pa AND (NOT pb OR length(a) >= length(b)) THEN a WHEN pb THEN b WHEN length(a) >= 12 THEN a ELSE '' END AS letters FROM pure
+)"""
+
+
+@query(
+    "p5_found",
+    f"""WITH {_LETTERS}, runs AS (
+  SELECT row_id, unnest(regexp_extract_all(letters, 'N{{10,}}|[^N]+|N{{1,9}}')) AS run,
+         generate_subscripts(regexp_extract_all(letters, 'N{{10,}}|[^N]+|N{{1,9}}'), 1) AS i
+  FROM lettered WHERE length(letters) > (SELECT capacity FROM size_limits WHERE profile = 'sequence_piece')
+), placed AS (
+  SELECT row_id, run, (sum(length(run)) OVER (PARTITION BY row_id ORDER BY i))::bigint AS e FROM runs
+), gap AS (
+  SELECT row_id, e - length(run) AS gap_start, e AS gap_end FROM placed WHERE regexp_full_match(run, 'N{{10,}}')
+)
+SELECT * FROM gap UNION ALL SELECT DISTINCT row_id, -1::bigint, -1::bigint FROM runs WHERE row_id NOT IN (SELECT row_id FROM gap)""",
+)
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.gaps(pieces.split_oversized(read_table(spark, sf, "dev"), *_limits(spark, sf, "sequence_piece"))).withColumnRenamed("id", "row_id")
+
+
+def _pieces(spark: SparkSession, sf: str, profile: str) -> DataFrame:
+    capacity, overlap_size = _limits(spark, sf, profile)
+    return pieces.pieces(pieces.split_oversized(read_table(spark, sf, "dev"), capacity, overlap_size), overlap_size).withColumnRenamed("id", "row_id")
+
+
+@query("p5_pieces")
+def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return _pieces(spark, sf, "sequence_piece")
+
+
+@query("p5_pieces_short")
+def p5_pieces_short(spark: SparkSession, sf: str) -> DataFrame:
+    return _pieces(spark, sf, "sequence_piece_short")
+
+
+def _packed(spark: SparkSession, sf: str, profile: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf, "documents"), _limits(spark, sf, profile)[0])
+
+
+@query("p6_containers")
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf, "text_container").withColumnRenamed("id", "doc_id")
+
+
+@query("p6_containers_long")
+def p6_containers_long(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf, "text_container_long").withColumnRenamed("id", "doc_id")
+
+
+@query("p6_fill")
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = packing.token_sizes(read_table(spark, sf, "documents"))
+    short, long = (_limits(spark, sf, p)[0] for p in ("text_container", "text_container_long"))
+    return packing.fill(packing.pack_sizes(sizes, short), short).unionByName(packing.fill(packing.pack_sizes(sizes, long), long))
+
+
+@query("p7_mixture")
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixture(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+@query("p7_shares")
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    targets = read_table(spark, sf, "mix_targets")
+    return mixing.shares(mixing.mixture(read_table(spark, sf, "documents"), targets), targets)
