@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonlake.llm import copies, mixing, near, overlap, packing, pieces
+from codonlake.llm import copies, mixing, near, overlap, packing, pieces, sentences
 from codonlake.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,8 @@ def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     targets = read_table(spark, sf, "mix_targets")
     return mixing.shares(mixing.mixture(read_table(spark, sf, "documents"), targets), targets)
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentences(read_table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
