@@ -11,9 +11,9 @@ texts of one cell have one rate. Rates are rounded to copies by carrying the fra
 length: the copies of a source differ from its rates by less than one text in all, and texts of a cell that get one copy
 more are chosen by rank in a hashed order.
 
-The mixture's size is ``total`` tokens, by default the tokens of all texts whose source has a target. A source whose
-cap doesn't allow its tokens is used up to the cap, and what it lacks is spread over the others in proportion to their
-targets, so the size is kept where that is possible.
+The mixture's size is ``total`` tokens. By default it is the largest size, not above that of all usable texts, at which
+the sources whose cap doesn't allow their share have at most ``slack`` of the target weights together. Such sources are
+used up to their caps; the others get their share of the size, so their proportions are those of the targets.
 
 Defined results: names of sources are compared in lower case, with runs of spaces, hyphens and underscores as one
 underscore. Rows with a null identifier or text, texts without tokens, and rows whose source is null or has no target
@@ -33,6 +33,8 @@ from codonlake.session import cut, rank_within
 
 #: Sources with a target at most: they are handled one by one on the driver.
 MOST_SOURCES = 10_000
+#: Target weight of the sources that may fall short, at most, where the size isn't given.
+SLACK = 0.15
 STEPS = 60
 CLOSE = 1e-7
 
@@ -49,18 +51,22 @@ def targets_of(targets: DataFrame) -> dict[str, tuple[float, int]]:
     return {r["s"]: (float(r["target_share"]), max(0, int(r["max_repeats"] or 0))) for r in rows}
 
 
+def mixture_size(pool: dict[str, int], targets: dict[str, tuple[float, int]], slack: float = SLACK) -> float:
+    """The default size, from the usable tokens of each source."""
+    weight = sum(share for share, _ in targets.values())
+    most = sorted((cap * pool.get(s, 0) / share, share) for s, (share, cap) in targets.items())
+    short = 0.0
+    for size, share in most:
+        short += share
+        if short > slack * weight:
+            return min(size * weight, float(sum(pool.values())))
+    return float(sum(pool.values()))
+
+
 def wanted_tokens(pool: dict[str, int], targets: dict[str, tuple[float, int]], total: float) -> dict[str, float]:
-    """Tokens each source has to give: its share of ``total``, or all its cap allows with the lack spread over others."""
-    want: dict[str, float] = {}
-    free = dict(targets)
-    while free:
-        rest, weight = total - sum(want.values()), sum(s for s, _ in free.values())
-        short = {s: float(cap * pool.get(s, 0)) for s, (share, cap) in free.items() if cap * pool.get(s, 0) <= rest * share / weight}
-        if not short:
-            return want | {s: rest * share / weight for s, (share, _) in free.items()}
-        want |= short
-        free = {s: v for s, v in free.items() if s not in short}
-    return want
+    """Tokens each source has to give: its share of ``total``, or all its cap allows."""
+    weight = sum(share for share, _ in targets.values())
+    return {s: min(float(cap * pool.get(s, 0)), total * share / weight) for s, (share, cap) in targets.items()}
 
 
 def _rates(cells: DataFrame, multipliers: dict[str, float], caps: dict[str, int], means: dict[str, float]) -> DataFrame:
@@ -119,7 +125,7 @@ def mixture(df: DataFrame, targets: DataFrame, total: float | None = None, **col
     sums = {r["source"]: (int(r["t"]), int(r["c"])) for r in cells.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t"), F.sum("n").alias("c")).collect()}
     caps = {s: cap for s, (_, cap) in aims.items()}
     tokens = {s: t for s, (t, _) in sums.items()}
-    want = wanted_tokens(tokens, aims, float(sum(tokens.values())) if total is None else float(total))
+    want = wanted_tokens(tokens, aims, mixture_size(tokens, aims) if total is None else float(total))
     rated = _rates(cells, solve(cells, sums, want, caps), caps, {s: t / n for s, (t, n) in sums.items()})
     by_length = Window.partitionBy("source").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = F.sum(F.col("n") * (F.col("rate") - F.floor("rate"))).over(by_length)
