@@ -24,6 +24,8 @@ from codonlake.session import cut
 CELL = 512
 #: Bits of a text's hash in a record. A clash of two hashes only adds a candidate.
 TEXT_BITS = 47
+#: 64-bit words of the bit table that tells which rows are likely to be in a pair.
+FILTER_WORDS = 1 << 17
 
 
 def short_id(tid: Column) -> Column:
@@ -65,8 +67,8 @@ def shared_blocks(records: DataFrame, two_sides: bool) -> DataFrame:
     return cut(counted.where("n0 > 0 and n1 > 0" if two_sides else "n0 > 1"))
 
 
-def candidates(shared: DataFrame, two_sides: bool, cell: int = CELL) -> DataFrame:
-    """(ha, hb): the distinct pairs of texts that share a block. With two sides, a is of side 0 and b of side 1."""
+def candidates(shared: DataFrame, two_sides: bool, agree: int = 1, cell: int = CELL) -> DataFrame:
+    """(ha, hb): the pairs of texts that share at least ``agree`` blocks. With two sides, a is of side 0, b of side 1."""
     n1 = F.col("n1") if two_sides else F.col("n0")
     parts = shared.select("key", "h", "side", F.ceil(F.col("n0") / cell).alias("m0"), F.ceil(n1 / cell).alias("m1"))
     left, right = (parts.where("side = 0"), parts.where("side = 1")) if two_sides else (parts, parts)
@@ -80,7 +82,7 @@ def candidates(shared: DataFrame, two_sides: bool, cell: int = CELL) -> DataFram
     a = left.where(large).select("key", F.col("h").alias("ha"), own("m0"), every("m1")).withColumnsRenamed({"own": "i", "other": "j"})
     b = right.where(large).select("key", F.col("h").alias("hb"), own("m1"), every("m0")).withColumnsRenamed({"own": "j", "other": "i"})
     cells = a.join(b, ["key", "i", "j"]).where(order).select("ha", "hb")
-    return pairs.unionByName(cells).distinct()
+    return pairs.unionByName(cells).groupBy("ha", "hb").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= agree).select("ha", "hb")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -118,6 +120,23 @@ def endpoints(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("ha").alias("h")).union(pairs.select(F.col("hb").alias("h"))).distinct()
 
 
+def rows_of(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows (with h) of the texts ``ends``, and perhaps a few others.
+
+    A bit table of fixed size (FILTER_WORDS words, whatever the data) with a bit for each text is broadcast, so rows are
+    dropped where they are read and their letters aren't shuffled. It passes some rows of other texts, which no pair
+    names. More texts than an eighth of its bits would pass too many; they are joined instead.
+    """
+    if ends.count() > 8 * FILTER_WORDS:
+        return rows.join(ends, "h", "left_semi")
+    bit = F.col("h").bitwiseAND(F.lit(63)).cast("int")
+    word = F.pmod(F.shiftright("h", 6), F.lit(FILTER_WORDS)).alias("__word")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    bits = ends.select(word, one.alias("m")).groupBy("__word").agg(F.bit_or("m").alias("__bits"))
+    near = rows.withColumn("__word", word).join(F.broadcast(bits), "__word").where(F.col("__bits").bitwiseAND(one) != 0)
+    return near.drop("__word", "__bits")
+
+
 def one_text_each(rows: DataFrame) -> DataFrame:
     """(tid, h, letters): each text of ``rows`` once; copies are combined before the shuffle."""
     return rows.groupBy("tid", "h").agg(F.first("letters").alias("letters"))
