@@ -25,7 +25,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,15 +55,18 @@ _MARKER_ONLY = re.compile(r"\s*[(\[]?(?:\d{1,3}|[ivxIVX]{1,5})\s*$")
 _BEFORE_DOT = re.compile(r"[^\s()\[\]{}\"“”„«»‘。！？，、：；「」『』（）/…]+$")
 _WORD = re.compile(r"[^\W\d_]+(?:[.\-’'][^\W_]+)*", re.UNICODE)
 _CJK = re.compile(r"[　-ヿ㐀-鿿豈-﫿＀-￯]")
+_THAI = re.compile(r"[ก-ฮ]")
 _THAI_GAP = re.compile(r"(?<=[ก-ๅ็-๎])\s+(?=[ก-ฮเ-ไ])(?!\S\.)")
 _GREEK = re.compile(r"[Ͱ-ͽͿ-Ͽἀ-῿]")
 _DEVANAGARI = re.compile(r"[ऀ-ॣ०-ॿ]")
 _KEY_END = re.compile(r"[\s,;:!?…。！？，、：；\"”»」』]")
 _INITIAL = re.compile(r"[^\W\d_]\.\s")
+_SPACED_INITIAL = re.compile(r"(\w)\.\s?\w$")
+_NO_PERIODS = re.compile(r"[฀-๿ऀ-ॿ]$")
 _DOTTED = re.compile(r"(?:[^\W\d_]{1,2}\.-?)+[^\W\d_]{1,2}$")
-_ABBR_USE = re.compile(r"(?<![\w.])([^\W\d_]{1,6})\.(?=,|(?=\s)[^\S\n]*\n?[^\S\n]*([\da-zа-яёα-ωß-ÿ][^\s,;:!?]*))")
-_ABBR_END = re.compile(r"(?<![\w.])([^\W\d_]{1,6})\.(?=\s)")
-_PLAIN_USE = re.compile(r"(?<![\w.])([^\W\d_]{1,8})(?![\w.])")
+_EDGES = "()[]{}\"“”„‟‘’'«»「」『』，。、,;:!?…¿¡"
+#: Letters of a word that may be an abbreviation, and of a plain word that is remembered, at most.
+_SHORT, _PLAIN = 6, 12
 
 
 @dataclass
@@ -74,24 +78,40 @@ class Model:
     lower: frozenset[str] = frozenset()
 
 
-@dataclass
 class _Document:
-    model: Model
-    abbreviations: set[str] = field(default_factory=set)
-    plain: set[str] = field(default_factory=set)
-    starters: set[str] = field(default_factory=set)
+    """The evidence of one document, found when it is first asked for, with the model of all."""
+
+    def __init__(self, model: Model, text: str):
+        self.model, self.text = model, text
+        self.places = list(paragraphs(text))
+        self.starters = {key_at(text, after_list_mark(text, a, b), b) for a, b in self.places}
+        self.thai = bool(_THAI.search(text))
+        self._words: tuple[set[str], set[str]] | None = None
+
+    @property
+    def words(self) -> tuple[set[str], set[str]]:
+        """(abbreviations, plain words). A word before one that begins sentences is no abbreviation for it."""
+        if self._words is None:
+            found, plain = set(), set()
+            for a, b in self.places:
+                uses, tokens = word_uses(self.text[a:b])
+                found.update(w for w, f in uses if _following(f) and not self.starts(f.rstrip("." + _EDGES)))
+                plain.update(t.strip(_EDGES) for t in tokens)
+            self._words = found, plain
+        return self._words
 
     def starts(self, key: str) -> bool:
         return bool(key) and (key in self.starters or key in self.model.starters)
 
     def abbreviation(self, word: str) -> bool:
-        if word in self.abbreviations:
-            return True
-        return word in self.model.abbreviations and word not in self.plain
+        if not (word.isalpha() and len(word) <= _SHORT):
+            return False
+        found, plain = self.words
+        return word in found or (word in self.model.abbreviations and word not in plain)
 
     def common(self, word: str) -> bool:
         low = word.lower()
-        return low != word and (low in self.plain or low in self.model.lower)
+        return low != word and (low in self.words[1] or low in self.model.lower)
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -126,14 +146,24 @@ def after_list_mark(text: str, at: int, end: int) -> int:
     return m.end() if m else at
 
 
-def evidence(text: str, known: frozenset[str] = frozenset()) -> tuple[set[str], set[str], set[str]]:
-    """(abbreviations, plain words, keys that open paragraphs) of one document. A word before one that opens paragraphs
-    there, or is ``known`` to do so, is no abbreviation for it."""
-    starters = set()
-    for a, b in paragraphs(text):
-        starters.add(key_at(text, after_list_mark(text, a, b), b))
-    uses = {w for w, following in _ABBR_USE.findall(text) if following.rstrip(".") not in starters | known}
-    return uses, set(_PLAIN_USE.findall(text)), starters
+def word_uses(text: str) -> tuple[list[tuple[str, str]], list[str]]:
+    """Short words with a period and what follows in the paragraph ("," for a comma, "" for nothing), and all tokens."""
+    tokens = text.split()
+    uses = []
+    for k, t in enumerate(tokens):
+        if t[-1] == "." or t[-2:] in (".,", ".;", ".:"):
+            word = t.lstrip(_EDGES)
+            stop = -1 if t[-1] == "." else -2
+            word = word[:stop]
+            if 0 < len(word) <= _SHORT and word.isalpha():
+                uses.append((word, "," if stop == -2 else tokens[k + 1] if k + 1 < len(tokens) else ""))
+    return uses, tokens
+
+
+def _following(use: str) -> bool:
+    """Whether what follows a period shows that it ends no sentence."""
+    c = use[:1]
+    return c == "," or c.islower() or c.isdigit()
 
 
 def _enclosed(text: str, at: int, end: int) -> list[tuple[int, int]]:
@@ -177,6 +207,40 @@ def _enclosed(text: str, at: int, end: int) -> list[tuple[int, int]]:
     return outer
 
 
+_REGULAR, _FOREIGN, _LETTER, _MAY_END, _STANDS_BEFORE, _WITH_PERIODS, _NUMBER = range(7)
+
+
+@lru_cache(1 << 16)
+def _word_class(before: str) -> tuple[int, str]:
+    """What kind of word ``before`` ends with, and the word."""
+    m = _BEFORE_DOT.search(before)
+    word = m.group() if m else ""
+    cjk = [x.end() for x in _CJK.finditer(word)]
+    bare = (word[cjk[-1] :] if cjk else word).lstrip("'’-–¿¡")
+    low = bare.lower()
+    if _NO_PERIODS.search(bare):
+        return _FOREIGN, bare
+    if len(bare) == 1 and bare.isalpha():
+        return _LETTER, bare
+    last = low if "." in low else low.rsplit("-", 1)[-1]
+    if low in AFTER or last in AFTER:
+        return _MAY_END, bare
+    if low in BEFORE or last in BEFORE:
+        return _STANDS_BEFORE, bare
+    if _DOTTED.match(low):
+        return _WITH_PERIODS, bare
+    return _NUMBER if bare.isdigit() else _REGULAR, bare
+
+
+@lru_cache(1 << 12)
+def _run_class(run: str) -> str:
+    """The terminator that decides for a run of them."""
+    for kind, marks in (("。", "。！？｡"), ("．", "．"), ("。", "।॥"), ("|", "|"), (";", ";;"), ("?", "!?؟")):
+        if any(x in marks for x in run):
+            return kind
+    return "…" if len(run) > 1 or "…" in run else "."
+
+
 class _Paragraph:
     def __init__(self, text: str, at: int, end: int, doc: _Document):
         self.text, self.at, self.end, self.doc = text, at, end, doc
@@ -237,84 +301,76 @@ class _Paragraph:
             return None
         return b + 1 if self.after_inner(b, b + 1) else None
 
-    def period(self, start: int, p: int, q: int) -> bool:
-        """Whether the period at ``p`` (the run ends before ``q``) ends the sentence that began at ``start``."""
+    def period(self, start: int, p: int, q: int, n: int) -> bool:
+        """Whether the period at ``p`` ends the sentence that began at ``start``; the next text stands at ``n``."""
         text, doc = self.text, self.doc
-        n = self.next_place(q)
-        if n >= self.end:
-            return True
-        if _MARKER_ONLY.match(text, start, p):
+        if p - start < 8 and _MARKER_ONLY.match(text, start, p):
             return False
         spaced, c = n > q, text[n]
-        m = _BEFORE_DOT.search(text, start, p)
-        word = m.group() if m else ""
-        cjk = [x.end() for x in _CJK.finditer(word)]
-        word = word[cjk[-1] :] if cjk else word
-        bare = word.lstrip("'’-–¿¡")
-        low = bare.lower()
         if not spaced and (c.islower() or c.isdigit() or not (c.isalpha() or c in _QUOTES_OPEN + "¿¡")):
             return False
         if not spaced and self.in_link(start, p):
             return False
-        if re.search(r"[฀-๿ऀ-ॿ]$", bare):
+        kind, bare = _word_class(text[max(start, p - 40) : p])
+        if kind == _FOREIGN:
             return False
-        last = low.rsplit("-", 1)[-1] if "." not in low else low
-        if len(bare) == 1 and bare.isalpha():
-            twice = re.search(r"(\w)\.\s?$", text[start : p - 1])
-            pair = f"{twice.group(1).lower()}.{low}" if twice else ""
+        opens = self.opens(n, spaced)
+        if kind == _LETTER:
+            twice = _SPACED_INITIAL.search(text, max(start, p - 4), p)
+            pair = f"{twice.group(1).lower()}.{bare.lower()}" if twice else ""
             if pair in AFTER:
-                return self.opens(n, spaced) is True
-            if not spaced or pair in BEFORE or low in BEFORE or not bare.isupper():
+                return opens is True
+            if not spaced or pair in BEFORE or bare.lower() in BEFORE or not bare.isupper():
                 return False
-            word_next = key_at(text, n, self.end)
-            return self.opens(n, spaced) is True and c.isupper() and len(word_next) > 1 and doc.common(word_next) and doc.starts(word_next)
-        if low in AFTER or last in AFTER:
+            key = key_at(text, n, self.end)
+            return opens is True and c.isupper() and len(key) > 1 and doc.common(key) and doc.starts(key)
+        if kind == _MAY_END:
             if c in "([（" or (c.isdigit() and spaced):
                 return False
-            return self.opens(n, spaced) is True or (self.opens(n, spaced) is None and doc.starts(key_at(text, n, self.end)))
-        if low in BEFORE or last in BEFORE:
+            return opens is True or (opens is None and doc.starts(key_at(text, n, self.end)))
+        if kind == _STANDS_BEFORE:
             return False
-        if _DOTTED.match(low) and not any(x.isdigit() for x in low):
-            return spaced and self.opens(n, spaced) is True and doc.starts(key_at(text, n, self.end))
-        if bare.isdigit() and spaced and c.isalpha() and not _INITIAL.match(text, n, self.end):
-            return self.opens(n, spaced) is not False and doc.starts(key_at(text, n, self.end))
+        if kind == _WITH_PERIODS:
+            return spaced and opens is True and doc.starts(key_at(text, n, self.end))
+        if kind == _NUMBER and spaced and c.isalpha() and not _INITIAL.match(text, n, self.end):
+            return opens is not False and doc.starts(key_at(text, n, self.end))
         if doc.abbreviation(bare):
-            return c not in "([（" and not c.isdigit() and self.opens(n, spaced) is True and doc.starts(key_at(text, n, self.end))
+            return c not in "([（" and not c.isdigit() and opens is True and doc.starts(key_at(text, n, self.end))
         if not spaced and len(bare) < 2 and not (p > start and text[p - 1] in _CLOSERS):
             return False
-        opens = self.opens(n, spaced)
         return spaced if opens is None else opens
 
     def ends(self, start: int, p: int, q: int) -> bool:
         """Whether the terminators from ``p`` to before ``q`` end the sentence that began at ``start``."""
-        text, run = self.text, self.text[p:q]
+        text = self.text
         n = self.next_place(q)
         if n >= self.end:
             return True
+        kind = _run_class(text[p:q])
+        if kind == "." and q - p == 1:
+            return self.period(start, p, q, n)
         spaced, c = n > q, text[n]
-        if run[-1] in "。！？｡" or any(x in "。！？｡" for x in run):
+        if kind == "。":
             return True
-        if "．" in run:
+        if kind == "．":
             return not (c.isdigit() and not spaced)
-        if any(x in "।॥" for x in run):
-            return True
-        if "|" in run:
-            return run == "|" and spaced and bool(_DEVANAGARI.search(text, start, p))
-        if any(x in ";;" for x in run):
-            return len(run) == 1 and bool(_GREEK.search(text, start, p)) and (c.isupper() or spaced)
-        if any(x in "!?؟" for x in run):
+        if kind == "|":
+            return q - p == 1 and spaced and bool(_DEVANAGARI.search(text, start, p))
+        if kind == ";":
+            return q - p == 1 and bool(_GREEK.search(text, start, p)) and (c.isupper() or spaced)
+        if kind == "?":
             if not spaced and (c.islower() or c.isdigit() or not (c.isalpha() or c in _QUOTES_OPEN + "¿¡")):
                 return False
             if not spaced and self.in_link(start, p):
                 return False
             opens = self.opens(n, spaced)
             return True if opens is None else opens
-        if "…" in run or len(run) > 1:
+        if kind == "…":
             if p > start and text[p - 1].isspace():
                 return False
             opens = self.opens(n, spaced)
             return self.doc.starts(key_at(text, n, self.end)) if opens is None or not spaced else opens
-        return self.period(start, p, q)
+        return self.period(start, p, q, n)
 
     def closers(self, q: int) -> int:
         """The place behind closing marks at ``q``, also behind a spaced guillemet."""
@@ -328,15 +384,18 @@ class _Paragraph:
         events: list[tuple[int, int, int, bool]] = [(b, a, b, True) for a, b in self.pairs]
         pairs, k = self.pairs, 0
         for m in _TERM.finditer(text, self.at, self.end):
-            while k < len(pairs) and pairs[k][1] < m.start():
+            p = m.start()
+            while k < len(pairs) and pairs[k][1] < p:
                 k += 1
-            if not (k < len(pairs) and pairs[k][0] < m.start()):
-                events.append((m.start(), m.start(), m.end(), False))
-        if "฀" <= max(text[self.at : self.end]) and re.search("[ก-ฮ]", text[self.at : self.end]):
+            if not (k < len(pairs) and pairs[k][0] < p):
+                events.append((p, p, m.end(), False))
+        if self.doc.thai:
             for m in _THAI_GAP.finditer(text, self.at, self.end):
                 if not any(a < m.start() < b for a, b in pairs) and not text.endswith("ฯลฯ", 0, m.start()):
                     events.append((m.start(), m.start(), -1, False))
-        for _, p, q, pair in sorted(events):
+        if pairs or self.doc.thai:
+            events.sort()
+        for _, p, q, pair in events:
             if p < start:
                 continue
             if pair:
@@ -357,22 +416,31 @@ def split(text: str | None, model: Model) -> list[tuple[int, int]]:
     """The places of the sentences of one text."""
     if not text:
         return []
-    doc = _Document(model, *evidence(text, model.starters))
-    return [(a, b) for at, end in paragraphs(text) for a, b in _Paragraph(text, at, end, doc).sentences()]
+    doc = _Document(model, text)
+    return [(a, b) for at, end in doc.places for a, b in _Paragraph(text, at, end, doc).sentences()]
 
 
 def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, word, n): the evidence of all documents. Kinds: u and e, uses of a word as abbreviation and before any
-    white space; w, uses without a period; s, paragraphs that a key opens."""
+    """(kind, word, n): the evidence of all documents. Kinds: e, short words with a period; u, those that end no sentence;
+    w, words without a period; s, paragraphs that a key opens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts: dict[str, Counter] = {k: Counter() for k in "uews"}
+            seen: Counter = Counter()
             for t in b.column(0).to_pylist():
-                counts["u"].update(w for w, _ in _ABBR_USE.findall(t))
-                counts["e"].update(_ABBR_END.findall(t))
-                counts["w"].update(_PLAIN_USE.findall(t))
-                counts["s"].update(key_at(t, after_list_mark(t, a, z), z) for a, z in paragraphs(t))
+                for a, z in paragraphs(t):
+                    uses, tokens = word_uses(t[a:z])
+                    seen.update(tokens)
+                    counts["s"][key_at(t, after_list_mark(t, a, z), z)] += 1
+                    for word, following in uses:
+                        counts["e"][word] += 1
+                        if _following(following):
+                            counts["u"][word] += 1
+            for token, n in seen.items():
+                word = token.strip(_EDGES)
+                if word.isalpha() and len(word) <= _PLAIN:
+                    counts["w"][word] += n
             rows = [(k, w, n) for k, c in counts.items() for w, n in c.items()]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["kind", "word", "n"])
