@@ -32,4 +32,5 @@ def with_letters(df: DataFrame, keep: list[str], sequence: str = "sequence", lab
         .when(F.length(a) >= LEAST_OTHER, a)
         .otherwise(F.lit(""))
     )
-    return two.select(*keep, chosen.alias(out))
+    # An exploded array of one keeps filters on the letters above it, so the letters are made once, not again for each.
+    return two.select(*keep, F.explode(F.array(chosen)).alias(out))
