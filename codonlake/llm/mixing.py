@@ -15,6 +15,8 @@ The mixture's size is ``total`` tokens. By default it is the largest size, not a
 the sources whose cap doesn't allow their share have at most ``slack`` of the target weights together. Such sources are
 used up to their caps; the others get their share of the size, so their proportions are those of the targets.
 
+A source with one text that is a good part of its tokens may so miss its share by that text.
+
 Defined results: names of sources are compared in lower case, with runs of spaces, hyphens and underscores as one
 underscore. Rows with a null identifier or text, texts without tokens, and rows whose source is null or has no target
 are not used. Equal texts are one text, with the smallest identifier among rows whose source has a target. A target
