@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BASES = "ACGT"
+from codonlake.functions.vectors import let
 
 
 def gc_content(seq: Column) -> Column:
@@ -32,7 +32,7 @@ def reverse_complement(seq: Column, reverse: bool = True, complemented: bool = T
 def kmers(seq: Column, k: int) -> Column:
     """Overlapping upper-case k-mers in order; empty if the sequence is shorter than k."""
     n = F.length(seq)
-    made = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(F.upper(seq), i, F.lit(k)))
+    made = let(F.upper(seq), lambda u: F.transform(F.sequence(F.lit(1), F.length(u) - (k - 1)), lambda i: F.substring(u, i, F.lit(k))))
     return F.when(seq.isNull(), None).when(n >= k, made).otherwise(F.array().cast("array<string>"))
 
 

@@ -72,15 +72,19 @@ def effects(df: DataFrame, id_col: str, seq: str) -> DataFrame:
     A substitution changes the k-mers that cover it only, so their weights are compared, not whole sequences.
     """
     raw = spread(df.where(F.col(seq).isNotNull()).select(id_col, seq)).select(id_col, seq, scoring.weight_sum(F.col(seq)).alias("__raw"))
-    sites = raw.where(F.length(seq) > 0).select(id_col, F.col(seq).alias("__s"), "__raw", F.explode(F.sequence(F.lit(0), F.length(seq) - 1)).alias("pos"))
-    reach = scoring.K - 1
-    left = F.substring("__s", F.greatest(F.lit(1), F.col("pos") + 1 - reach), F.least(F.lit(reach), F.col("pos")))
-    right = F.substring("__s", F.col("pos") + 2, F.lit(reach))
-    ref = F.substring("__s", F.col("pos") + 1, F.lit(1))
-    near = sites.select(id_col, "pos", "__raw", ref.alias("ref"), left.alias("__l"), right.alias("__r"))
-    near = near.withColumn("__old", scoring.short_weight_sum(F.concat("__l", "ref", "__r"), 2 * reach + 1))
-    each = near.withColumn("alt", F.explode(F.array(*[F.lit(b) for b in "ACGT"]))).where("ref <> alt")
-    shift = scoring.short_weight_sum(F.concat("__l", "alt", "__r"), 2 * reach + 1) - F.col("__old")
+    near = raw.where(F.length(seq) > 0).select(id_col, "__raw", F.split(seq, "").alias("__c"))
+    at = lambda i: F.struct(i.alias("pos"), *[F.get("__c", i + d).alias(f"b{d + 2}") for d in range(-2, 3)])
+    sites = near.select(id_col, "__raw", F.explode(F.transform(F.sequence(F.lit(0), F.size("__c") - 1), at)).alias("x")).select(id_col, "__raw", "x.*")
+    code = lambda c: F.call_function("instr", F.lit("ACGT"), F.col(c)) - 1
+    coded = sites.select(id_col, "pos", "__raw", F.col("b2").alias("ref"), *[code(f"b{i}").alias(f"c{i}") for i in range(5)])
+
+    def around(base: Column) -> Column:
+        a, b, d, e = (F.col(f"c{i}") for i in (0, 1, 3, 4))
+        return scoring.weight_of_codes(a, b, base) + scoring.weight_of_codes(b, base, d) + scoring.weight_of_codes(base, d, e)
+
+    alts = F.explode(F.array(*[F.struct(F.lit(b).alias("alt"), F.lit(i).alias("ca")) for i, b in enumerate("ACGT")]))
+    each = coded.withColumn("__old", around(F.col("c2"))).select("*", alts.alias("a")).select("*", "a.alt", "a.ca").where("ref <> alt")
+    shift = around(F.col("ca")) - F.col("__old")
     both = each.select(id_col, "pos", "ref", "alt", scoring.probability(F.col("__raw")).alias("raw"), scoring.probability(F.col("__raw") + shift).alias("mutant"))
     return both.select("*", vec.log2_ratio(F.col("mutant"), F.col("raw")).alias("score"), (F.col("mutant") - F.col("raw")).alias("diff"))
 

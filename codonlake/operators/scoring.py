@@ -45,6 +45,12 @@ def weight_sum(seq: Column) -> Column:
     return F.when(n >= K, vec.total(each)).otherwise(F.lit(0.0))
 
 
+def weight_of_codes(a: Column, b: Column, c: Column) -> Column:
+    """The weight of three bases by their places in ACGT; 0.0 where one is negative or null."""
+    table = F.array(*[F.lit(kmer_weight("".join(m))) for m in product("ACGT", repeat=K)])
+    return F.when((a >= 0) & (b >= 0) & (c >= 0), F.get(table, a * 16 + b * 4 + c)).otherwise(F.lit(0.0))
+
+
 def short_weight_sum(seq: Column, most: int) -> Column:
     """``weight_sum`` of sequences of at most ``most`` letters, without an array."""
     out = F.lit(0.0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonlake.functions import sequence as sq
+from codonlake.session import spread
 
 
 def drop_missing(df: DataFrame, seq: str = "sequence", label: str = "label") -> DataFrame:
@@ -57,13 +58,13 @@ def base_composition(df: DataFrame, by: list[str], seq: str) -> DataFrame:
 
 def kmer_counts(df: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
     """Uses of each k-mer and rows that have it: counted by row before the shuffle, so no distinct is needed."""
-    each = df.select(id_col, F.explode(sq.kmers(F.col(seq), k)).alias("kmer"))
+    each = spread(df.select(id_col, seq)).select(id_col, F.explode(sq.kmers(F.col(seq), k)).alias("kmer"))
     by_row = each.groupBy(id_col, "kmer").agg(F.count(F.lit(1)).alias("__n"))
     return by_row.groupBy("kmer").agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def kmer_topk(df: DataFrame, by: str, seq: str, k: int, top: int) -> DataFrame:
     """The ``top`` most frequent k-mers of each group; ties in k-mer order."""
-    counts = df.select(by, F.explode(sq.kmers(F.col(seq), k)).alias("kmer")).groupBy(by, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    counts = spread(df.select(by, seq)).select(by, F.explode(sq.kmers(F.col(seq), k)).alias("kmer")).groupBy(by, "kmer").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "kmer"))
     return counts.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= top)
