@@ -67,6 +67,8 @@ _DOTTED = re.compile(r"(?:[^\W\d_]{1,2}\.-?)+[^\W\d_]{1,2}$")
 _EDGES = "()[]{}\"“”„‟‘’'«»「」『』，。、,;:!?…¿¡"
 #: Letters of a word that may be an abbreviation, and of a plain word that is remembered, at most.
 _SHORT, _PLAIN = 6, 12
+_AFTER_USE = re.compile(r"([,;:])|(?=\s)[^\S\r\n]*(?:\r\n|\n|\r)?[^\S\r\n]*(\S+)")
+_PERIOD = re.compile(r"\.(?:(?=([,;:]))|(?=\s)[^\S\r\n]*(?:\r\n|\n|\r)?[^\S\r\n]*(?=(\S)))")
 
 
 @dataclass
@@ -86,19 +88,31 @@ class _Document:
         self.places = list(paragraphs(text))
         self.starters = {key_at(text, after_list_mark(text, a, b), b) for a, b in self.places}
         self.thai = bool(_THAI.search(text))
-        self._words: tuple[set[str], set[str]] | None = None
+        self._used: dict[str, bool] = {}
+        self._plain: set[str] | None = None
+
+    def used_as_abbreviation(self, word: str) -> bool:
+        """Whether a use of the word with a period here ends no sentence. A word before one that begins sentences is no
+        abbreviation for it."""
+        if word not in self._used:
+            text, look, found = self.text, word + ".", False
+            at = text.find(look)
+            while at >= 0 and not found:
+                if at == 0 or text[at - 1].isspace() or text[at - 1] in _EDGES:
+                    m = _AFTER_USE.match(text, at + len(look))
+                    if m:
+                        token = m.group(2)
+                        found = _following(m.group(1) or token) and not (token and self.starts(token.rstrip("." + _EDGES)))
+                at = text.find(look, at + 1)
+            self._used[word] = found
+        return self._used[word]
 
     @property
-    def words(self) -> tuple[set[str], set[str]]:
-        """(abbreviations, plain words). A word before one that begins sentences is no abbreviation for it."""
-        if self._words is None:
-            found, plain = set(), set()
-            for a, b in self.places:
-                uses, tokens = word_uses(self.text[a:b])
-                found.update(w for w, f in uses if _following(f) and not self.starts(f.rstrip("." + _EDGES)))
-                plain.update(t.strip(_EDGES) for t in tokens)
-            self._words = found, plain
-        return self._words
+    def plain(self) -> set[str]:
+        """Words that stand here without a period."""
+        if self._plain is None:
+            self._plain = {t.strip(_EDGES) for t in self.text.split()}
+        return self._plain
 
     def starts(self, key: str) -> bool:
         return bool(key) and (key in self.starters or key in self.model.starters)
@@ -106,12 +120,11 @@ class _Document:
     def abbreviation(self, word: str) -> bool:
         if not (word.isalpha() and len(word) <= _SHORT):
             return False
-        found, plain = self.words
-        return word in found or (word in self.model.abbreviations and word not in plain)
+        return self.used_as_abbreviation(word) or (word in self.model.abbreviations and word not in self.plain)
 
     def common(self, word: str) -> bool:
         low = word.lower()
-        return low != word and (low in self.words[1] or low in self.model.lower)
+        return low != word and (low in self.plain or low in self.model.lower)
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -146,24 +159,22 @@ def after_list_mark(text: str, at: int, end: int) -> int:
     return m.end() if m else at
 
 
-def word_uses(text: str) -> tuple[list[tuple[str, str]], list[str]]:
-    """Short words with a period and what follows in the paragraph ("," for a comma, "" for nothing), and all tokens."""
-    tokens = text.split()
-    uses = []
-    for k, t in enumerate(tokens):
-        if t[-1] == "." or t[-2:] in (".,", ".;", ".:"):
-            word = t.lstrip(_EDGES)
-            stop = -1 if t[-1] == "." else -2
-            word = word[:stop]
-            if 0 < len(word) <= _SHORT and word.isalpha():
-                uses.append((word, "," if stop == -2 else tokens[k + 1] if k + 1 < len(tokens) else ""))
-    return uses, tokens
+def abbreviation_uses(text: str) -> Iterator[str]:
+    """Each use of a short word with a period that ends no sentence."""
+    for m in _PERIOD.finditer(text):
+        if m.group(1) is None and not _following(m.group(2)):
+            continue
+        p = k = m.start()
+        while k and p - k <= _SHORT and text[k - 1].isalpha():
+            k -= 1
+        if 0 < p - k <= _SHORT and (k == 0 or text[k - 1].isspace() or text[k - 1] in _EDGES):
+            yield text[k:p]
 
 
 def _following(use: str) -> bool:
     """Whether what follows a period shows that it ends no sentence."""
     c = use[:1]
-    return c == "," or c.islower() or c.isdigit()
+    return c in (",", ";", ":") or c.islower() or c.isdigit()
 
 
 def _enclosed(text: str, at: int, end: int) -> list[tuple[int, int]]:
@@ -247,7 +258,10 @@ class _Paragraph:
         self.pairs = _enclosed(text, at, end)
 
     def next_place(self, p: int) -> int:
-        while p < self.end and self.text[p].isspace():
+        text, end = self.text, self.end
+        if p + 1 < end and text[p] == " " and text[p + 1] > " ":
+            p += 1
+        while p < end and text[p].isspace():
             p += 1
         return p
 
@@ -311,7 +325,7 @@ class _Paragraph:
             return False
         if not spaced and self.in_link(start, p):
             return False
-        kind, bare = _word_class(text[max(start, p - 40) : p])
+        kind, bare = _word_class(text[max(start, p - 40, text.rfind(" ", start, p) + 1) : p])
         if kind == _FOREIGN:
             return False
         opens = self.opens(n, spaced)
@@ -346,9 +360,9 @@ class _Paragraph:
         n = self.next_place(q)
         if n >= self.end:
             return True
-        kind = _run_class(text[p:q])
-        if kind == "." and q - p == 1:
+        if q - p == 1 and text[p] == ".":
             return self.period(start, p, q, n)
+        kind = _run_class(text[p:q])
         spaced, c = n > q, text[n]
         if kind == "。":
             return True
@@ -373,43 +387,51 @@ class _Paragraph:
         return self.period(start, p, q, n)
 
     def closers(self, q: int) -> int:
-        """The place behind closing marks at ``q``, also behind a spaced guillemet."""
+        """The place behind closing marks at ``q``."""
         text = self.text
         while q < self.end and text[q] in _CLOSERS and not any(a == q for a, _ in self.pairs):
             q += 1
         return q
 
-    def sentences(self) -> Iterator[tuple[int, int]]:
-        text, start = self.text, self.at
-        events: list[tuple[int, int, int, bool]] = [(b, a, b, True) for a, b in self.pairs]
-        pairs, k = self.pairs, 0
-        for m in _TERM.finditer(text, self.at, self.end):
-            p = m.start()
+    def marks(self) -> list[tuple[int, int, int, bool]]:
+        """Places where a sentence may end, in order: (place, first, behind, whether it is a closing pair); behind is -1
+        for a space between Thai words."""
+        text, pairs, k = self.text, self.pairs, 0
+        runs = [m.span() for m in _TERM.finditer(text, self.at, self.end)]
+        if not pairs and not self.doc.thai:
+            return [(p, p, q, False) for p, q in runs]
+        out = [(b, a, b, True) for a, b in pairs]
+        for p, q in runs:
             while k < len(pairs) and pairs[k][1] < p:
                 k += 1
             if not (k < len(pairs) and pairs[k][0] < p):
-                events.append((p, p, m.end(), False))
+                out.append((p, p, q, False))
         if self.doc.thai:
             for m in _THAI_GAP.finditer(text, self.at, self.end):
                 if not any(a < m.start() < b for a, b in pairs) and not text.endswith("ฯลฯ", 0, m.start()):
-                    events.append((m.start(), m.start(), -1, False))
-        if pairs or self.doc.thai:
-            events.sort()
-        for _, p, q, pair in events:
+                    out.append((m.start(), m.start(), -1, False))
+        out.sort()
+        return out
+
+    def sentences(self) -> Iterator[tuple[int, int]]:
+        text, start, last = self.text, self.at, self.end
+        for _, p, q, pair in self.marks():
             if p < start:
                 continue
             if pair:
                 end = self.inner(p, q, start)
             elif q < 0:
                 end = p
-            else:
+            elif q < last and text[q] in _CLOSERS:
                 stop = self.closers(q)
-                end = stop if self.ends(start, p, stop if stop > q and q < self.end else q) else None
+                end = stop if self.ends(start, p, stop) else None
+            else:
+                end = q if self.ends(start, p, q) else None
             if end is not None and end > start:
                 yield start, end
                 start = self.next_place(end)
-        if start < self.end:
-            yield start, self.end
+        if start < last:
+            yield start, last
 
 
 def split(text: str | None, model: Model) -> list[tuple[int, int]]:
@@ -429,18 +451,15 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             counts: dict[str, Counter] = {k: Counter() for k in "uews"}
             seen: Counter = Counter()
             for t in b.column(0).to_pylist():
-                for a, z in paragraphs(t):
-                    uses, tokens = word_uses(t[a:z])
-                    seen.update(tokens)
-                    counts["s"][key_at(t, after_list_mark(t, a, z), z)] += 1
-                    for word, following in uses:
-                        counts["e"][word] += 1
-                        if _following(following):
-                            counts["u"][word] += 1
+                seen.update(t.split())
+                counts["s"].update(key_at(t, after_list_mark(t, a, z), z) for a, z in paragraphs(t))
+                counts["u"].update(abbreviation_uses(t))
             for token, n in seen.items():
                 word = token.strip(_EDGES)
                 if word.isalpha() and len(word) <= _PLAIN:
                     counts["w"][word] += n
+                elif word[-1:] == "." and word[:-1].isalpha() and len(word) <= _SHORT + 1:
+                    counts["e"][word[:-1]] += n
             rows = [(k, w, n) for k, c in counts.items() for w, n in c.items()]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["kind", "word", "n"])
