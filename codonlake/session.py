@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 _own_dirs: dict[str, str] = {}
+#: Tables written by ``cut`` in this process; they go when it ends.
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def build_session(app: str = "codonlake", master: str = "local[*]", **conf: str) -> SparkSession:
@@ -44,20 +47,29 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         _own_dirs[app] = tempfile.mkdtemp(prefix="codonlake-")
-        atexit.register(_remove, _own_dirs[app])
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
     return "file://" + _own_dirs[app]
 
 
-def _remove(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
+@atexit.register
+def _remove_tables() -> None:
+    for spark, path in _tables:
+        local = path.removeprefix("file://")
+        if local.startswith("/"):
+            shutil.rmtree(local, ignore_errors=True)
+            continue
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session is gone; its folder is the cluster's to clear
+            return
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back: the lineage ends there and no executor holds
     the only copy."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    _tables.append((df.sparkSession, path))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
