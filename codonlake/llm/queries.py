@@ -46,7 +46,46 @@ def p1_records(spark: SparkSession, sf: str) -> DataFrame:
     return copies.records(read_table(spark, sf, "dev"), "row_id", ["sequence", "label"]).withColumnRenamed("kept_id", "kept_row_id")
 
 
-@query("p2_found")
+def _letters(table: str, name: str = "lettered") -> str:
+    """CTEs that give (row_id, source, letters) of a split."""
+    return f"""
+{name}_f AS (
+  SELECT row_id, source, regexp_replace(upper(coalesce(sequence, '')), '[^A-Z]', '', 'g') AS a,
+         regexp_replace(upper(coalesce(label, '')), '[^A-Z]', '', 'g') AS b FROM {table}
+), {name}_p AS (
+  SELECT *, regexp_full_match(a, '[ACGTURYSWKMBDHVN]+') AS pa, regexp_full_match(b, '[ACGTURYSWKMBDHVN]+') AS pb FROM {name}_f
+), {name} AS (
+  SELECT row_id, source, CASE WHEN pa AND (NOT pb OR length(a) >= length(b)) THEN a WHEN pb THEN b WHEN length(a) >= 12 THEN a ELSE '' END AS letters FROM {name}_p
+)"""
+
+
+def _runs(source: str, name: str) -> str:
+    """CTEs with the distinct runs of 12 letters of each text, and their number."""
+    return f"""
+{name}_r AS (
+  SELECT DISTINCT letters, unnest([substr(letters, i, 12) for i in range(1, length(letters) - 10)]) AS run FROM (SELECT DISTINCT letters FROM {source} WHERE length(letters) >= 12)
+), {name}_n AS (SELECT letters, count(*) AS n FROM {name}_r GROUP BY letters)"""
+
+
+_NEAR = f"""WITH {_letters("dev")}, {_runs("lettered", "t")}, common AS (
+  SELECT a.letters AS la, b.letters AS lb, count(*) AS c FROM t_r a JOIN t_r b ON a.run = b.run AND a.letters < b.letters GROUP BY ALL
+), near AS (
+  SELECT la, lb FROM common JOIN t_n x ON x.letters = la JOIN t_n y ON y.letters = lb WHERE c >= 0.5::double * (x.n + y.n - c)
+)
+SELECT least(a.row_id, b.row_id) AS row_id_a, greatest(a.row_id, b.row_id) AS row_id_b
+FROM near JOIN lettered a ON a.letters = la JOIN lettered b ON b.letters = lb"""
+
+_OVERLAP = f"""WITH {_letters("(SELECT * FROM dev UNION ALL SELECT * FROM test)", "ev")}, {_letters("train", "tr")}, {_runs("ev", "e")}, {_runs("tr", "t")}, common AS (
+  SELECT a.letters AS la, b.letters AS lb, count(*) AS c FROM e_r a JOIN t_r b ON a.run = b.run AND a.letters <> b.letters GROUP BY ALL
+), near AS (
+  SELECT la, lb FROM common JOIN e_n x ON x.letters = la JOIN t_n y ON y.letters = lb WHERE c >= 0.5::double * (x.n + y.n - c)
+  UNION ALL SELECT DISTINCT letters, letters FROM ev WHERE letters <> ''
+), found AS (
+  SELECT a.row_id AS eval_row_id, b.row_id AS train_row_id FROM near JOIN ev a ON a.letters = la JOIN tr b ON b.letters = lb
+)"""
+
+
+@query("p2_found", _NEAR)
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     found = near.near_duplicates(read_table(spark, sf, "dev"))
     return found.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
@@ -56,13 +95,18 @@ def _splits(spark: SparkSession, sf: str) -> tuple[list[DataFrame], DataFrame]:
     return [read_table(spark, sf, "dev"), read_table(spark, sf, "test")], read_table(spark, sf, "train")
 
 
-@query("p3_found")
+@query("p3_found", _OVERLAP + " SELECT * FROM found")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     found = overlap.overlaps(*_splits(spark, sf))
     return found.select(F.col("eval_id").alias("eval_row_id"), F.col("train_id").alias("train_row_id"))
 
 
-@query("p3_counts")
+@query(
+    "p3_counts",
+    _OVERLAP + """, m AS (SELECT eval_row_id, count(*) AS n FROM found GROUP BY eval_row_id)
+SELECT split, source, count(*) AS n_rows, count(n) AS n_overlapping, coalesce(sum(n), 0)::bigint AS n_matches
+FROM (SELECT row_id, source, 'dev' AS split FROM dev UNION ALL SELECT row_id, source, 'test' FROM test) LEFT JOIN m ON eval_row_id = row_id GROUP BY split, source""",
+)
 def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
     evaluation, training = _splits(spark, sf)
     rows = [d.where("row_id is not null").select(F.col("row_id").alias("id"), F.lit(s).alias("split"), "source") for d, s in zip(evaluation, ("dev", "test"), strict=True)]
@@ -74,20 +118,9 @@ def _limits(spark: SparkSession, sf: str, profile: str) -> tuple[int, int]:
     return int(row["capacity"]), int(row["overlap_size"])
 
 
-_LETTERS = """
-fields AS (
-  SELECT row_id, regexp_replace(upper(coalesce(sequence, '')), '[^A-Z]', '', 'g') AS a,
-         regexp_replace(upper(coalesce(label, '')), '[^A-Z]', '', 'g') AS b FROM dev
-), pure AS (
-  SELECT *, regexp_full_match(a, '[ACGTURYSWKMBDHVN]+') AS pa, regexp_full_match(b, '[ACGTURYSWKMBDHVN]+') AS pb FROM fields
-), lettered AS (
-  SELECT row_id, CASE WHEN pa AND (NOT pb OR length(a) >= length(b)) THEN a WHEN pb THEN b WHEN length(a) >= 12 THEN a ELSE '' END AS letters FROM pure
-)"""
-
-
 @query(
     "p5_found",
-    f"""WITH {_LETTERS}, runs AS (
+    f"""WITH {_letters("dev")}, runs AS (
   SELECT row_id, unnest(regexp_extract_all(letters, 'N{{10,}}|[^N]+|N{{1,9}}')) AS run,
          generate_subscripts(regexp_extract_all(letters, 'N{{10,}}|[^N]+|N{{1,9}}'), 1) AS i
   FROM lettered WHERE length(letters) > (SELECT capacity FROM size_limits WHERE profile = 'sequence_piece')
