@@ -271,3 +271,39 @@ def nearest(left: DataFrame, right: DataFrame, id_col: str, vector: str, top: in
     best = lambda *k: F.row_number().over(Window.partitionBy("id", *k).orderBy(F.desc("similarity"), "other"))
     part = sims.withColumn("__r", best("__k")).where(F.col("__r") <= top)
     return part.select("id", "other", "similarity", best().alias("rank")).where(F.col("rank") <= top)
+
+
+def pairwise_auroc(df: DataFrame, by: list[str], y: str, scores: str) -> DataFrame:
+    """(by..., auroc): for each pair of classes, the mean of both one-against-one areas, averaged over pairs.
+
+    ``scores`` is an array with a score for each class, numbered from 0.
+    """
+    classes = F.sequence(F.lit(0), F.size(scores) - 1)
+    own = df.select(*by, F.col(y).alias("__y"), F.col(scores).alias("__s"), F.explode(classes).alias("__o")).where("__o <> __y")
+    rows = own.select(*by, F.explode(F.array(
+        F.struct(F.col("__y").alias("a"), F.col("__o").alias("b"), F.lit(1).alias("t"), F.get("__s", F.col("__y")).alias("v")),
+        F.struct(F.col("__o").alias("a"), F.col("__y").alias("b"), F.lit(0).alias("t"), F.get("__s", F.col("__o")).alias("v")),
+    )).alias("z")).select(*by, "z.*")
+    return auroc(rows, [*by, "a", "b"], "t", "v").groupBy(*by).agg(F.avg("auroc").alias("auroc"))
+
+
+def bpref(run: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(qid, bpref): for each relevant document found, one less the share of judged irrelevant documents above it."""
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))
+    n = qrels.groupBy("qid").agg(F.count_if(F.col("rel") > 0).alias("r"), F.count_if(F.col("rel") <= 0).alias("n")).where("r > 0")
+    judged = run.select("qid", "doc", rank.alias("rank")).join(qrels, ["qid", "doc"])
+    above = F.sum((F.col("rel") <= 0).cast("int")).over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    part = judged.withColumn("above", above).join(n, "qid")
+    least = F.least("r", "n")
+    term = F.when(F.col("rel") > 0, 1 - F.when(least > 0, F.least("above", least) / least).otherwise(0.0)).otherwise(0.0)
+    return part.groupBy("qid").agg((F.sum(term) / F.first("r")).alias("bpref"))
+
+
+def geometric_mean(df: DataFrame, value: str, least: float = 1e-5) -> DataFrame:
+    """(mean): the geometric mean, values below ``least`` counted as it."""
+    return df.agg(F.exp(F.avg(F.log(F.greatest(F.col(value), F.lit(least))))).alias("mean"))
+
+
+def precision_at(top: DataFrame, relevant: str, by: str, k: int = 10) -> DataFrame:
+    """(by, precision) of ranked rows (by, rank, ...) with a flag for relevant ones."""
+    return top.where(F.col("rank") <= k).groupBy(by).agg((F.count_if(relevant) / k).alias("precision"))

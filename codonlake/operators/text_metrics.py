@@ -3,6 +3,7 @@ distances and subsequences that no built-in function gives run in Arrow batches.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pandas as pd
@@ -155,3 +156,114 @@ def perplexity(df: DataFrame, by: str, log_prob: str) -> DataFrame:
 def unsupported(name: str) -> None:
     """Metrics that need a neural scorer, an outside program or running untrusted code have no native form."""
     raise NotImplementedError(f"{name} needs a model or program of its own; pass its scores to the aggregates here")
+
+
+def smoothed_bleu(matches: DataFrame, lengths: DataFrame, most: int = 4, smooth: str = "exp", value: float = 0.0) -> DataFrame:
+    """(bleu) from 0 to 100 with smoothing: ``exp`` halves a missing order's precision each time, ``floor`` puts
+    ``value`` for no matches, ``add-k`` adds ``value`` to both counts above order 1, ``none`` gives 0."""
+    o = matches.groupBy("n").agg(F.sum("matches").alias("m"), F.sum("pred_total").alias("t"))
+    missing = F.sum((F.col("m") == 0).cast("int")).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    m, t = F.col("m").cast("double"), F.col("t").cast("double")
+    if smooth == "exp":
+        p = F.when(m > 0, m / t).otherwise(1.0 / (F.pow(F.lit(2.0), missing) * t))
+    elif smooth == "floor":
+        p = F.when(m > 0, m).otherwise(F.lit(value)) / t
+    elif smooth == "add-k":
+        p = F.when(F.col("n") > 1, (m + value) / (t + value)).otherwise(m / t)
+    elif smooth == "none":
+        p = m / t
+    else:
+        raise ValueError(f"unknown smoothing {smooth}")
+    logs = o.where("t > 0").select(F.when(p > 0, F.log(p)).alias("l")).agg(F.sum("l").alias("s"), F.count("l").alias("k"))
+    size = lengths.agg(F.sum("pred_length").alias("c"), F.sum("ref_length").alias("r"))
+    brevity = F.when(F.col("c") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.try_divide("r", "c")))
+    return logs.crossJoin(size).select(F.when(F.col("k") < most, 0.0).otherwise(100 * brevity * F.exp(F.col("s") / most)).alias("bleu"))
+
+
+def nist(df: DataFrame, id_col: str, pred: Column, ref: Column, most: int = 5) -> DataFrame:
+    """(nist): n-gram matches weighted by their information in all references, summed over orders, with the length
+    penalty that is 0.5 at two thirds of the reference length."""
+    grams = lambda items, s: F.flatten(F.array(*[_of_order(items, n, s) for n in range(1, most + 1)]))
+    rows = df.select(id_col, pred.alias("__p"), ref.alias("__r"))
+    each = rows.select(id_col, F.explode(F.concat(grams(F.col("__p"), 1), grams(F.col("__r"), 0))).alias("x")).select(id_col, "x.*")
+    c = each.groupBy(id_col, "n", "g", "h").agg(F.sum("s").alias("p"), F.sum(1 - F.col("s")).alias("r"))
+    corpus = c.groupBy("n", "g", "h").agg(F.sum("r").alias("count")).where("count > 0")
+    words = rows.agg(F.sum(F.size("__r")).alias("words"))
+    heads = corpus.select((F.col("n") + 1).alias("n"), F.col("g").alias("h"), F.col("count").alias("head"))
+    info = corpus.join(heads, ["n", "h"], "left").crossJoin(F.broadcast(words)).select("n", "g", F.log2(F.coalesce(F.col("head"), F.col("words")) / F.col("count")).alias("info"))
+    hits = c.where("p > 0 and r > 0").select("n", "g", F.least("p", "r").alias("m")).join(info, ["n", "g"]).groupBy("n").agg(F.sum(F.col("m") * F.col("info")).alias("v"))
+    totals = c.groupBy("n").agg(F.sum("p").alias("t")).where("t > 0")
+    score = totals.join(hits, "n", "left").agg(F.sum(F.coalesce("v", F.lit(0.0)) / F.col("t")).alias("s"))
+    size = rows.agg(F.sum(F.size("__p")).alias("c"), F.sum(F.size("__r")).alias("r"))
+    ratio = F.least(F.lit(1.0), F.try_divide("c", "r"))
+    beta = F.lit(math.log(0.5) / math.log(1.5) ** 2)
+    penalty = F.when(ratio > 0, F.exp(beta * F.pow(F.log(ratio), F.lit(2)))).otherwise(0.0)
+    return score.crossJoin(size).select((F.col("s") * penalty).alias("nist"))
+
+
+def _of_order(items: Column, n: int, s: int) -> Column:
+    """Structs (n, g, h, s): n-grams with the n-gram less its last word."""
+    last = F.size(items) - (n - 1)
+    made = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(items, i, F.lit(n)), " ").alias("g"), F.array_join(F.slice(items, i, F.lit(n - 1)), " ").alias("h"), F.lit(s).alias("s")))
+    return F.when(last > 0, made).otherwise(F.array().cast("array<struct<n:int,g:string,h:string,s:int>>"))
+
+
+def word_alignment_score(pred: Column, ref: Column, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> Column:
+    """The exact-match stage of METEOR: weighted harmonic mean of unigram precision and recall, less a share for breaks
+    in the order of the matched words. Stems and synonyms need resources of their own and aren't used."""
+    @F.pandas_udf("double")
+    def run(p: pd.Series, r: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(p, r, strict=True):
+            left: dict[str, list[int]] = {}
+            for j, w in enumerate(y):
+                left.setdefault(w, []).append(j)
+            at = [left[w].pop(0) if left.get(w) else None for w in x]
+            hits = [j for j in at if j is not None]
+            if not hits:
+                out.append(0.0)
+                continue
+            chunks = sum(1 for k, j in enumerate(at) if j is not None and (k == 0 or at[k - 1] is None or at[k - 1] != j - 1))
+            pr, rc = len(hits) / len(x), len(hits) / len(y)
+            out.append((pr * rc / (alpha * pr + (1 - alpha) * rc)) * (1 - gamma * (chunks / len(hits)) ** beta))
+        return pd.Series(out)
+
+    return run(tx.words(F.lower(pred)), tx.words(F.lower(ref)))
+
+
+def muc(df: DataFrame, mention: str, key: str, response: str) -> DataFrame:
+    """(precision, recall, f1) by links: a cluster of m mentions that the other side cuts into k parts keeps m - k of
+    its m - 1 links."""
+    def side(a: str, b: str) -> DataFrame:
+        per = df.groupBy(F.col(a).alias("c")).agg(F.count(mention).alias("m"), F.count_distinct(b).alias("k"))
+        return per.agg(F.sum(F.col("m") - F.col("k")).alias("hit"), F.sum(F.col("m") - 1).alias("all"))
+
+    r = side(key, response).select(F.when(F.col("all") > 0, F.col("hit") / F.col("all")).otherwise(0.0).alias("recall"))
+    p = side(response, key).select(F.when(F.col("all") > 0, F.col("hit") / F.col("all")).otherwise(0.0).alias("precision"))
+    return p.crossJoin(r).select("precision", "recall", f_score(F.col("precision"), F.col("recall")).alias("f1"))
+
+
+def answer_curve(df: DataFrame, score: str, correct: str, answers: int | None = None) -> DataFrame:
+    """(aupr, p_at_80, p_at_90): area under precision and recall of scored answers with precisions raised to the best at
+    a higher recall, by the trapezoid rule, and precision at two recalls. Null without a correct answer."""
+    steps = df.groupBy(F.col(score).alias("s")).agg(F.count_if(correct).alias("c"), F.count(F.lit(1)).alias("n"))
+    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = steps.select("s", F.sum("c").over(down).alias("cc"), F.sum("n").over(down).alias("cn"))
+    total = df.agg(F.count_if(correct).alias("total") if answers is None else F.lit(answers).alias("total"))
+    pr = run.crossJoin(F.broadcast(total)).select("s", F.try_divide("cc", "total").alias("r"), (F.col("cc") / F.col("cn")).alias("p"))
+    best = pr.withColumn("p", F.max("p").over(Window.orderBy(F.desc("s")).rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    order = Window.orderBy(F.desc("s"))
+    area = (F.col("r") - F.coalesce(F.lag("r").over(order), F.lit(0.0))) * (F.col("p") + F.coalesce(F.lag("p").over(order), F.lit(1.0))) / 2
+    cut = best.withColumn("a", area)
+    at = lambda x: F.coalesce(F.max(F.when(F.col("r") >= x, F.col("p"))), F.lit(0.0))
+    return cut.agg(F.sum("a").alias("aupr"), at(0.8).alias("p_at_80"), at(0.9).alias("p_at_90"))
+
+
+def same_expression(a: Column, b: Column) -> Column:
+    """Whether two short formulas are the same once spaces, outer dollars and boxes, and leading zeros are set aside."""
+    def plain(c: Column) -> Column:
+        t = F.regexp_replace(F.lower(c), r"[\s$]|\\left|\\right|\\!|\\,", "")
+        t = F.regexp_replace(t, r"^\\boxed\{(.*)\}$", "$1")
+        return F.regexp_replace(F.regexp_replace(t, r"\\[dt]frac", "\\\\\\\\frac"), r"(^|[^0-9])0+(?=\.)", "$1")
+
+    return plain(a) == plain(b)
