@@ -67,8 +67,10 @@ _DOTTED = re.compile(r"(?:[^\W\d_]{1,2}\.-?)+[^\W\d_]{1,2}$")
 _EDGES = "()[]{}\"“”„‟‘’'«»「」『』，。、,;:!?…¿¡"
 #: Letters of a word that may be an abbreviation, and of a plain word that is remembered, at most.
 _SHORT, _PLAIN = 6, 12
+#: Characters of a link that are looked back over, and of a text from which its abbreviations are found in one pass.
+_LINK, _LONG = 4096, 1 << 17
 _AFTER_USE = re.compile(r"([,;:])|(?=\s)[^\S\r\n]*(?:\r\n|\n|\r)?[^\S\r\n]*(\S+)")
-_PERIOD = re.compile(r"\.(?:(?=([,;:]))|(?=\s)[^\S\r\n]*(?:\r\n|\n|\r)?[^\S\r\n]*(?=(\S)))")
+_PERIOD = re.compile(r"\.(?:(?=([,;:]))|(?=\s)[^\S\r\n]*(?:\r\n|\n|\r)?[^\S\r\n]*(?=(\S+)))")
 
 
 @dataclass
@@ -89,11 +91,16 @@ class _Document:
         self.starters = {key_at(text, after_list_mark(text, a, b), b) for a, b in self.places}
         self.thai = bool(_THAI.search(text))
         self._used: dict[str, bool] = {}
+        self._all: set[str] | None = None
         self._plain: set[str] | None = None
 
     def used_as_abbreviation(self, word: str) -> bool:
         """Whether a use of the word with a period here ends no sentence. A word before one that begins sentences is no
         abbreviation for it."""
+        if len(self.text) > _LONG:
+            if self._all is None:
+                self._all = {w for w, f in abbreviation_uses(self.text) if not (f and self.starts(f))}
+            return word in self._all
         if word not in self._used:
             text, look, found = self.text, word + ".", False
             at = text.find(look)
@@ -159,8 +166,8 @@ def after_list_mark(text: str, at: int, end: int) -> int:
     return m.end() if m else at
 
 
-def abbreviation_uses(text: str) -> Iterator[str]:
-    """Each use of a short word with a period that ends no sentence."""
+def abbreviation_uses(text: str) -> Iterator[tuple[str, str]]:
+    """Each use of a short word with a period that ends no sentence, and the word after it ("" if a mark follows)."""
     for m in _PERIOD.finditer(text):
         if m.group(1) is None and not _following(m.group(2)):
             continue
@@ -168,7 +175,7 @@ def abbreviation_uses(text: str) -> Iterator[str]:
         while k and p - k <= _SHORT and text[k - 1].isalpha():
             k -= 1
         if 0 < p - k <= _SHORT and (k == 0 or text[k - 1].isspace() or text[k - 1] in _EDGES):
-            yield text[k:p]
+            yield text[k:p], (m.group(2) or "").rstrip("." + _EDGES)
 
 
 def _following(use: str) -> bool:
@@ -180,37 +187,44 @@ def _following(use: str) -> bool:
 def _enclosed(text: str, at: int, end: int) -> list[tuple[int, int]]:
     """Outermost pairs of quotation marks and brackets, as places of the two marks."""
     stack: list[tuple[str, int]] = []
+    waiting: Counter = Counter()
     pairs: list[tuple[int, int]] = []
 
+    def open_(mark: str, place: int) -> None:
+        stack.append((mark, place))
+        waiting[mark] += 1
+
     def close(openers: str, place: int) -> bool:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in openers:
-                pairs.append((stack[k][1], place))
-                del stack[k:]
+        if not any(waiting[x] for x in openers):
+            return False
+        while True:  # what is opened within and not closed is no pair
+            mark, at_ = stack.pop()
+            waiting[mark] -= 1
+            if mark in openers:
+                pairs.append((at_, place))
                 return True
-        return False
 
     for m in _MARK.finditer(text, at, end):
         c, p = m.group(), m.start()
         if c == '"':
             if not close('"', p):
-                stack.append((c, p))
+                open_(c, p)
         elif c in _BRACKETS:
             close(_BRACKETS[c], p)
         elif c in "“”":
             if close("„" if c == "“" else "“„", p):
                 continue
             if c == "“":
-                stack.append((c, p))
+                open_(c, p)
         elif c == "„":
-            stack.append((c, p))
+            open_(c, p)
         elif c == "’":
             if not (p + 1 < end and text[p + 1].isalnum() and text[p + 1].isascii()):
                 close("‘", p)
         elif c in "»」』》〉":
             close({"»": "«", "」": "「", "』": "『", "》": "《", "〉": "〈"}[c], p)
         elif c in _OPEN:
-            stack.append((c, p))
+            open_(c, p)
     outer: list[tuple[int, int]] = []
     for a, b in sorted(pairs):
         if not outer or a > outer[-1][1]:
@@ -256,6 +270,8 @@ class _Paragraph:
     def __init__(self, text: str, at: int, end: int, doc: _Document):
         self.text, self.at, self.end, self.doc = text, at, end, doc
         self.pairs = _enclosed(text, at, end)
+        self.opened = {a for a, _ in self.pairs}
+        self.greek = self.devanagari = None
 
     def next_place(self, p: int) -> int:
         text, end = self.text, self.end
@@ -286,7 +302,7 @@ class _Paragraph:
         return spaced
 
     def in_link(self, start: int, p: int) -> bool:
-        place = self.text.rfind("://", start, p)
+        place = self.text.rfind("://", max(start, p - _LINK), p)
         return place >= 0 and not any(x.isspace() for x in self.text[place:p])
 
     def after_inner(self, mark: int, p: int) -> bool:
@@ -325,7 +341,8 @@ class _Paragraph:
             return False
         if not spaced and self.in_link(start, p):
             return False
-        kind, bare = _word_class(text[max(start, p - 40, text.rfind(" ", start, p) + 1) : p])
+        low = max(start, p - 40)
+        kind, bare = _word_class(text[text.rfind(" ", low, p) + 1 or low : p])
         if kind == _FOREIGN:
             return False
         opens = self.opens(n, spaced)
@@ -369,9 +386,13 @@ class _Paragraph:
         if kind == "．":
             return not (c.isdigit() and not spaced)
         if kind == "|":
-            return q - p == 1 and spaced and bool(_DEVANAGARI.search(text, start, p))
+            if self.devanagari is None:
+                self.devanagari = bool(_DEVANAGARI.search(text, self.at, self.end))
+            return self.devanagari and q - p == 1 and spaced and bool(_DEVANAGARI.search(text, start, p))
         if kind == ";":
-            return q - p == 1 and bool(_GREEK.search(text, start, p)) and (c.isupper() or spaced)
+            if self.greek is None:
+                self.greek = bool(_GREEK.search(text, self.at, self.end))
+            return self.greek and q - p == 1 and bool(_GREEK.search(text, start, p)) and (c.isupper() or spaced)
         if kind == "?":
             if not spaced and (c.islower() or c.isdigit() or not (c.isalpha() or c in _QUOTES_OPEN + "¿¡")):
                 return False
@@ -389,7 +410,7 @@ class _Paragraph:
     def closers(self, q: int) -> int:
         """The place behind closing marks at ``q``."""
         text = self.text
-        while q < self.end and text[q] in _CLOSERS and not any(a == q for a, _ in self.pairs):
+        while q < self.end and text[q] in _CLOSERS and q not in self.opened:
             q += 1
         return q
 
@@ -407,9 +428,13 @@ class _Paragraph:
             if not (k < len(pairs) and pairs[k][0] < p):
                 out.append((p, p, q, False))
         if self.doc.thai:
+            k = 0
             for m in _THAI_GAP.finditer(text, self.at, self.end):
-                if not any(a < m.start() < b for a, b in pairs) and not text.endswith("ฯลฯ", 0, m.start()):
-                    out.append((m.start(), m.start(), -1, False))
+                p = m.start()
+                while k < len(pairs) and pairs[k][1] < p:
+                    k += 1
+                if not (k < len(pairs) and pairs[k][0] < p) and not text.endswith("ฯลฯ", 0, p):
+                    out.append((p, p, -1, False))
         out.sort()
         return out
 
@@ -453,7 +478,7 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             for t in b.column(0).to_pylist():
                 seen.update(t.split())
                 counts["s"].update(key_at(t, after_list_mark(t, a, z), z) for a, z in paragraphs(t))
-                counts["u"].update(abbreviation_uses(t))
+                counts["u"].update(w for w, _ in abbreviation_uses(t))
             for token, n in seen.items():
                 word = token.strip(_EDGES)
                 if word.isalpha() and len(word) <= _PLAIN:
