@@ -264,6 +264,8 @@ def same_expression(a: Column, b: Column) -> Column:
     def plain(c: Column) -> Column:
         t = F.regexp_replace(F.lower(c), r"[\s$]|\\left|\\right|\\!|\\,", "")
         t = F.regexp_replace(t, r"^\\boxed\{(.*)\}$", "$1")
-        return F.regexp_replace(F.regexp_replace(t, r"\\[dt]frac", "\\\\\\\\frac"), r"(^|[^0-9])0+(?=\.)", "$1")
+        for form in ("\\dfrac", "\\tfrac"):
+            t = F.replace(t, F.lit(form), F.lit("\\frac"))
+        return F.regexp_replace(t, r"(^|[^0-9])0+(?=\.)", "$1")
 
     return plain(a) == plain(b)
