@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codonlake.session import running_totals
+
 def _zero_ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
@@ -39,9 +41,12 @@ def score_steps(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
     """(by..., score, p, n, cp, cn, tp_all, fp_all): positives and negatives at each distinct score, running sums from
     the highest score, and totals."""
     steps = df.groupBy(*by, F.col(score).alias("score")).agg(_count(F.col(y) == 1).alias("p"), _count(F.col(y) != 1).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    return steps.select("*", F.sum("p").over(down).alias("cp"), F.sum("n").over(down).alias("cn"), F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"))
+    run = running_totals(steps, by, "score", {"p": "cp", "n": "cn"}, descending=True)
+    totals = df.groupBy(*by).agg(_count(F.col(y) == 1).alias("all_p"), _count(F.col(y) != 1).alias("all_n"))
+    if not by:
+        return run.crossJoin(F.broadcast(totals))
+    named = totals.select(*[F.col(c).alias(f"__t_{c}") for c in by], "all_p", "all_n")
+    return run.join(named, [F.col(c).eqNullSafe(F.col(f"__t_{c}")) for c in by]).drop(*[f"__t_{c}" for c in by])
 
 
 def auroc(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
@@ -139,8 +144,8 @@ def regression(df: DataFrame, by: list[str], y: str, pred: str, digits: int | No
 def mean_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Distinct values of each group with their average rank from 1."""
     v = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return v.select(*by, value, (upto - (F.col("__c") - 1) / 2).alias(out))
+    run = running_totals(v, by, value, {"__c": "__upto"})
+    return run.select(*by, value, (F.col("__upto") - (F.col("__c") - 1) / 2).alias(out))
 
 
 def spearman(df: DataFrame, by: list[str], y: str, pred: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonlake.functions import text as tx
+from codonlake.session import running_totals
 
 
 def ngram_matches(df: DataFrame, id_col: str, pred: Column, ref: Column, most: int, sep: str = " ") -> DataFrame:
@@ -77,8 +78,8 @@ def best_threshold(df: DataFrame, score: str, gain: str, no_answer: str) -> Data
     reaches it; rows that have no answer give 1 while they aren't answered."""
     steps = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(no_answer), -1.0).otherwise(F.col(gain))).alias("d"))
     start = df.agg(F.count_if(F.col(no_answer)).cast("double").alias("base"))
-    cum = F.sum("d").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = steps.crossJoin(F.broadcast(start)).select("s", (F.col("base") + F.round(cum, 9)).alias("v"), "base")
+    sums = running_totals(steps, [], "s", {"d": "cum"})
+    run = sums.crossJoin(F.broadcast(start)).select("s", (F.col("base") + F.round("cum", 9)).alias("v"), "base")
     best = run.agg(F.max("v").alias("v"), F.max_by("s", F.struct("v", -F.col("s"))).alias("s"), F.first("base").alias("base"))
     return best.select(F.greatest("v", "base").alias("best"), F.when(F.col("v") > F.col("base"), F.col("s")).otherwise(0.0).alias("threshold"))
 

@@ -9,7 +9,7 @@ from codonlake.operators import suites as su
 from codonlake.operators import text_metrics as tm
 from codonlake.operators import training as tr
 from codonlake.service import Service
-from codonlake.session import broadcast_if_small, cut, shared_dir
+from codonlake.session import broadcast_if_small, cut, running_totals, shared_dir
 
 
 def test_encode(spark):
@@ -86,3 +86,17 @@ def test_cut_and_checked_broadcast(spark):
     assert "broadcast" in plan(again).lower()
     hinted = broadcast_if_small(df, 10)
     assert hinted is df
+
+
+def test_running_totals_over_ranges(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(g, k, rng.randint(0, 9)) for g in ("a", None, "b") for k in rng.sample(range(1000), 150)] + [("c", 1, 4)]
+    df = spark.createDataFrame([(g, float(k), v) for g, k, v in rows], "g string, k double, v int")
+    for down in (False, True):
+        got = {(r["g"], r["k"]): r["s"] for r in running_totals(df, ["g"], "k", {"v": "s"}, down, 8).collect()}
+        assert got == {(g, float(k)): sum(w for h, j, w in rows if h == g and (j >= k if down else j <= k)) for g, k, _ in rows}
+    one = df.where("g = 'a'")
+    assert running_totals(one, [], "k", {"v": "s"}).agg(F.max("s")).first()[0] == one.agg(F.sum("v")).first()[0]
+    assert running_totals(df.where("false"), [], "k", {"v": "s"}).collect() == []
