@@ -100,3 +100,14 @@ def test_running_totals_over_ranges(spark):
     one = df.where("g = 'a'")
     assert running_totals(one, [], "k", {"v": "s"}).agg(F.max("s")).first()[0] == one.agg(F.sum("v")).first()[0]
     assert running_totals(df.where("false"), [], "k", {"v": "s"}).collect() == []
+
+
+def test_task_settings():
+    from codonlake.config import TaskSettings, from_mapping
+
+    assert TaskSettings("multi_class_classification", 3).label_names == ("class_0", "class_1", "class_2") and TaskSettings("binary_classification").kind == "binary"
+    assert TaskSettings("regression", 5).labels == 1 and TaskSettings("mask").labels is None
+    assert from_mapping({"task": {"task_type": "multilabel", "num_labels": 2, "more": 1}}).extra == {"more": 1}
+    for bad in ({"kind": "other"}, {"kind": "multiclass", "labels": 1}, {"threshold": 2}):
+        with pytest.raises(ValueError):
+            TaskSettings(**bad)
