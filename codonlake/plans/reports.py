@@ -65,9 +65,9 @@ def registry_summary(spark, sf):
     return read_table(spark, sf, "label_names").groupBy("task").agg(F.count(F.lit(1)).alias("n_labels"), F.min("label_name").alias("first_name"), F.max("label_name").alias("last_name"))
 
 
-@query("plot_bars", f"WITH {SCORED}, {_WIDE} SELECT model, metric, round(avg(value), 6) AS value FROM bench GROUP BY model, metric")
+@query("plot_bars", f"WITH {SCORED}, {_WIDE} SELECT model, metric, round(avg(value), 9) AS value FROM bench GROUP BY model, metric")
 def plot_bars(spark, sf):
-    return _bench(spark, sf).groupBy("model", "metric").agg(F.round(F.avg("value"), 6).alias("value"))
+    return _bench(spark, sf).groupBy("model", "metric").agg(F.round(F.avg("value"), 9).alias("value"))
 
 
 @query("plot_radar", f"WITH {SCORED}, {_WIDE}, d AS (SELECT model, metric, value, row_number() OVER (PARTITION BY model ORDER BY metric) - 1 AS place, count(*) OVER (PARTITION BY model) AS n FROM bench WHERE split = 'dev'), z AS (SELECT * FROM d UNION ALL SELECT model, metric, value, n, n FROM d WHERE place = 0) SELECT model, metric, place, round(place * 2 * pi() / n, 6) AS angle, round(value * cos(place * 2 * pi() / n), 6) AS x, round(value * sin(place * 2 * pi() / n), 6) AS y FROM z")
