@@ -270,3 +270,61 @@ def same_expression(a: Column, b: Column) -> Column:
         return F.regexp_replace(t, r"(^|[^0-9])0+(?=\.)", "$1")
 
     return plain(a) == plain(b)
+
+
+def _distance(a: list[str], b: list[str]) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+    return row[-1]
+
+
+def edits_with_shifts(pred: list[str], ref: list[str], longest: int = 10) -> int:
+    """Word edits that turn ``pred`` into ``ref``, where moving a run of words costs one: the move that saves most is
+    made first, as long as one saves more than it costs. Runs that move are of at most ``longest`` words."""
+    words, moves, cost = list(pred), 0, _distance(pred, ref)
+    while cost:
+        best: tuple[int, list[str]] = (cost - 1, words)
+        for i in range(len(words)):
+            for n in range(1, min(longest, len(words) - i) + 1):
+                run = words[i : i + n]
+                places = [j for j in range(len(ref) - n + 1) if ref[j : j + n] == run]
+                if not places:
+                    break
+                rest = words[:i] + words[i + n :]
+                for j in places:
+                    moved = rest[:j] + run + rest[j:]
+                    d = _distance(moved, ref) if moved != words else cost
+                    if d < best[0]:
+                        best = (d, moved)
+        if best[1] is words:
+            break
+        cost, words, moves = best[0], best[1], moves + 1
+    return cost + moves
+
+
+def ter(df: DataFrame, pred: Column, ref: Column) -> DataFrame:
+    """(ter): edits with shifts over the words of all references. For short texts: a row's work grows fast with it."""
+    @F.pandas_udf("int")
+    def run(p: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([edits_with_shifts(list(x), list(y)) for x, y in zip(p, r, strict=True)], dtype="int32")
+
+    p, r = tx.words(F.lower(pred)), tx.words(F.lower(ref))
+    return df.select(run(p, r).alias("e"), F.size(r).alias("n")).agg(F.try_divide(F.sum("e"), F.sum("n")).alias("ter"))
+
+
+def lea(df: DataFrame, mention: str, key: str, response: str) -> DataFrame:
+    """(precision, recall, f1) of clusters by their links, weighted by their mentions; a single mention has one link, to
+    itself, and keeps it if it is single on the other side."""
+    cells = df.groupBy(F.col(key).alias("k"), F.col(response).alias("r")).agg(F.count(mention).alias("n"))
+    sized = cells.select("k", "r", "n", F.sum("n").over(Window.partitionBy("k")).alias("nk"), F.sum("n").over(Window.partitionBy("r")).alias("nr"))
+    links = lambda n: n * (n - 1) / 2
+
+    def side(own: str, other: str) -> Column:
+        kept = F.when(F.col(own) == 1, (F.col(other) == 1).cast("double")).otherwise(links(F.col("n")) / links(F.col(own)))
+        return F.sum(kept * F.col(own)) / F.sum("n")
+
+    s = sized.agg(side("nr", "nk").alias("precision"), side("nk", "nr").alias("recall"))
+    return s.select("precision", "recall", f_score(F.col("precision"), F.col("recall")).alias("f1"))

@@ -86,3 +86,15 @@ def pseudo_log_likelihood(spark, sf):
 def minmax_attributions(spark, sf):
     p = read_table(spark, sf, "predictions").where(vec.is_scored(F.col("logits"), 2))
     return p.select("row_id", "model", F.transform(vec.min_max(F.col("logits")), lambda x: F.round(x, 6)).alias("scaled"), "scored_at", "received_at")
+
+
+@query("m_ter")
+def m_ter(spark, sf):
+    return tm.ter(pairs(spark, sf), F.col("pred"), F.col("ref")).select(F.round("ter", 6).alias("ter"))
+
+
+@query("m_lea", "WITH c AS (SELECT l_suppkey AS k, l_partkey % 50 AS r, count(*)::double AS n FROM lineitem GROUP BY ALL), s AS (SELECT n, sum(n) OVER (PARTITION BY k) AS nk, sum(n) OVER (PARTITION BY r) AS nr FROM c), t AS (SELECT sum(nr * CASE WHEN nr = 1 THEN (nk = 1)::int ELSE n * (n - 1) / (nr * (nr - 1)) END) / sum(n) AS p, sum(nk * CASE WHEN nk = 1 THEN (nr = 1)::int ELSE n * (n - 1) / (nk * (nk - 1)) END) / sum(n) AS r FROM s) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM t")
+def m_lea(spark, sf):
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 50).alias("r"))
+    out = tm.lea(li, "l_orderkey", "k", "r")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])

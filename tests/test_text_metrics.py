@@ -106,3 +106,15 @@ def test_bpref_and_geometric_mean(spark):
     assert me.bpref(run, rel).first()["bpref"] == 0.0
     assert me.bpref(run, rel.where("doc <> 'a'")).first()["bpref"] == 1.0
     assert math.isclose(me.geometric_mean(spark.createDataFrame([(0.0,), (1.0,)], "v double"), "v").first()["mean"], math.sqrt(1e-5))
+
+
+def test_edits_with_shifts(spark):
+    e = lambda a, b: tm.edits_with_shifts(a.split(), b.split())
+    assert e("a b c", "a b c") == 0 and e("d e a b c", "a b c d e") == 1 and e("a x c", "a b c") == 1 and e("", "a b") == 2 and e("a", "") == 1
+    assert math.isclose(tm.ter(frame(spark), F.col("pred"), F.col("ref")).first()["ter"], (1 + 0 + 2 + 1 + 1) / 14)
+
+
+def test_link_based_clusters(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "y"), (4, "b", "z")], "m int, k string, r string")
+    r = tm.lea(df, "m", "k", "r").first()
+    assert math.isclose(r["recall"], (3 * (1 / 3) + 1) / 4) and math.isclose(r["precision"], (2 * 1 + 0 + 1) / 4)
