@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame
@@ -125,8 +126,8 @@ def train_log_series(spark, sf):
 
 def _stream(spark, sf) -> DataFrame:
     schema = read_table(spark, sf, "predictions").schema
-    single = not sf.rstrip("/").split("/")[-1].startswith("check")
-    return st.read_stream(spark, sf, schema, "predictions.parquet") if single else st.read_stream(spark, f"{sf}/predictions.parquet", schema)
+    one_file = os.path.isfile(f"{sf}/predictions.parquet".removeprefix("file://"))
+    return st.read_stream(spark, sf, schema, "predictions.parquet") if one_file else st.read_stream(spark, f"{sf}/predictions.parquet", schema)
 
 
 def _paths(spark) -> tuple[str, str]:
