@@ -7,8 +7,12 @@ A metric that isn't defined (one class only, no spread) is null; a ratio 0/0 in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from codonlake.session import running_totals
 
@@ -216,26 +220,54 @@ def entity_scores(true: DataFrame, pred: DataFrame, row: str) -> DataFrame:
     return c.select("*", _zero_ratio(hit, F.col("n_pred")).alias("precision"), _zero_ratio(hit, F.col("n_true")).alias("recall"), _zero_ratio(2 * hit, F.col("n_true") + F.col("n_pred")).alias("f1"))
 
 
-def mahalanobis(df: DataFrame, id_col: str, vector: str, reference: DataFrame, size: int) -> DataFrame:
+def mahalanobis(df: DataFrame, id_col: str, vector: str, reference: DataFrame) -> DataFrame:
     """(id, mahalanobis): squared distance of each vector to the reference vectors, less their grand mean.
 
-    The covariance (``size`` by ``size`` sums, whatever the rows) is inverted on the driver.
+    All places of a vector count. A vector that is null or holds a null has a null distance and is left out of the
+    reference; vectors of several lengths are an error; with fewer than two reference vectors all distances are null. The
+    covariance is added up from partial sums of Arrow batches about the means, so the driver gets one number for each pair
+    of places, whatever the rows, and inverts it.
     """
     import numpy as np
 
-    cols = [F.get(vector, F.lit(i)).alias(f"v{i}") for i in range(size)]
-    wide = reference.select(*cols)
-    aggs = [F.covar_samp(f"v{i}", f"v{j}").alias(f"c_{i}_{j}") for i in range(size) for j in range(i, size)]
-    row = wide.agg(*aggs, *[F.avg(f"v{i}").alias(f"m{i}") for i in range(size)]).first()
-    cov = np.array([[row[f"c_{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)])
-    inverse = np.linalg.pinv(cov)
-    mean = float(np.mean([row[f"m{i}"] for i in range(size)]))
-    out = df.select(id_col, *cols).select(id_col, *[(F.col(f"v{i}") - mean).alias(f"v{i}") for i in range(size)])
-    terms = [float(inverse[i][j]) * F.col(f"v{i}") * F.col(f"v{j}") for i in range(size) for j in range(size)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return out.select(id_col, total.alias("mahalanobis"))
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    used = reference.where(whole(vector)).select(F.col(vector).cast("array<double>").alias("v"))
+    rows = df.select(F.col(id_col), F.when(whole(vector), F.col(vector).cast("array<double>")).alias("v"))
+    lengths = {r["n"] for r in used.select(F.size("v").alias("n")).union(rows.where("v is not null").select(F.size("v").alias("n"))).distinct().limit(2).collect()}
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(lengths)}")
+    size = lengths.pop() if lengths else 0
+    n = used.count()
+    if n < 2 or size == 0:
+        return rows.select(id_col, F.lit(None).cast("double").alias("mahalanobis"))
+    means = np.zeros(size)
+    for r in used.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect():
+        means[r["i"]] = r["m"]
+    upper = np.triu_indices(size)
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) - means
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(upper[0]))), pa.array(total[upper])], ["place", "x"])
+
+    cov = np.zeros((size, size))
+    for r in used.mapInArrow(gram, "place bigint, x double").groupBy("place").agg(F.sum("x").alias("x")).collect():
+        i, j = upper[0][r["place"]], upper[1][r["place"]]
+        cov[i, j] = cov[j, i] = r["x"] / (n - 1)
+    inverse, mean = np.linalg.pinv(cov), float(means.mean())
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(1)
+            known = v.is_valid().to_numpy(zero_copy_only=False)
+            x = v.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, size) - mean
+            got = np.zeros(len(known))
+            got[known] = ((x @ inverse) * x).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, mask=~known)], [id_col, "mahalanobis"])
+
+    return rows.mapInArrow(distances, StructType([rows.schema[id_col], StructField("mahalanobis", DoubleType())]))
 
 
 def ranking(run: DataFrame, qrels: DataFrame, depths: tuple[int, ...] = (5, 10, 15, 20, 30, 100, 200, 500, 1000)) -> DataFrame:

@@ -328,7 +328,7 @@ def cosine_top10(spark, sf):
 @query("mahalanobis")
 def mahalanobis(spark, sf):
     e = read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return r(me.mahalanobis(e, "vec_id", "v", e, 8), "vec_id", digits=4)
+    return r(me.mahalanobis(e, "vec_id", "v", e), "vec_id", digits=4)
 
 
 @query("seq_logprob", "WITH t AS (SELECT user_id, event_id, (user_id + event_id) % 4 AS tok, [value / 10, value / 20, (event_id % 7) / 3.0::double, 1.0::double] AS lg FROM events), k AS (SELECT *, lead(tok) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM t) SELECT user_id, round(sum(lg[nxt + 1] - list_max(lg) - ln(list_sum([exp(x - list_max(lg)) for x in lg]))), 5) AS log_prob, count(*) AS n FROM k WHERE nxt IS NOT NULL GROUP BY user_id")
