@@ -153,7 +153,7 @@ def overlap_join(spark, sf):
 @query("overlap_left_join", _LR + ", h AS (SELECT chrom, start_pos, end_pos FROM r WHERE start_pos % 3 = 0) SELECT l.chrom, l.start_pos, l.end_pos, gene, coalesce(h.start_pos, -1) AS r_start_pos, coalesce(h.end_pos, -1) AS r_end_pos FROM (SELECT DISTINCT * FROM l) l LEFT JOIN h ON l.chrom = h.chrom AND l.start_pos < h.end_pos AND h.start_pos < l.end_pos")
 def overlap_left_join(spark, sf):
     l_, r_ = _sides(spark, sf)
-    return iv.overlaps(l_, r_.where("start_pos % 3 = 0").select("chrom", "start_pos", "end_pos"), "left").drop("r_chrom")
+    return iv.overlaps(l_, r_.select("chrom", "start_pos", "end_pos"), "left").drop("r_chrom")
 
 
 @query("islands_from_positions", "WITH d AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), g AS (SELECT s, p, p - row_number() OVER (PARTITION BY s ORDER BY p) AS run FROM d) SELECT s, min(p) AS island_start, max(p) + 1 AS island_end FROM g GROUP BY s, run")

@@ -18,3 +18,12 @@ def test_mahalanobis_takes_whole_vectors(spark, tmp_path):
     assert me.mahalanobis(named, "name", "embedding", df.limit(1)).where("mahalanobis is null").count() == 302
     with pytest.raises(ValueError):
         me.mahalanobis(df.selectExpr("vec_id", "slice(embedding, 1, 8) embedding"), "vec_id", "embedding", df)
+
+
+def test_overlap_left_join_takes_all_genes(spark, tmp_path):
+    genes = [("chr1", a, a + 50, "+", f"g{a}", "gene") for a in (100, 200, 301, 402)]
+    parts = [("chr1", a, a + 10, "+", f"e{a}", "exon") for a in (90, 145, 205, 340, 345, 460, 2000)] + [("chr2", 205, 215, "+", "e2", "exon")]
+    spark.createDataFrame(genes + parts, "chrom string, start_pos bigint, end_pos bigint, strand string, gene string, feature string").coalesce(1).write.parquet(str(tmp_path / "intervals.parquet"))
+    got = sorted(tuple(r) for r in registry.queries()["overlap_left_join"](spark, str(tmp_path)).collect())
+    want = {90: -1, 145: 100, 205: 200, 340: 301, 345: 301, 460: -1, 2000: -1}
+    assert got == sorted([("chr1", a, a + 10, f"e{a}", b, b + 50 if b >= 0 else -1) for a, b in want.items()] + [("chr2", 205, 215, "e2", -1, -1)])
