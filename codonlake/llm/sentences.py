@@ -9,8 +9,10 @@ Method: document-centred disambiguation. Whether a period ends a sentence depend
 unambiguous occurrences of the same words elsewhere in the document: a word is an abbreviation if the document has it
 with a period before a lower-case word, digit or comma, and a plain word if it has it without; a word begins sentences
 if it opens a paragraph, and a capitalised word is no name if the document has it in lower case. Where the document is
-silent, counts of the same evidence over all documents decide, then a short list of common abbreviations. Scripts bring
-their own terminators: ideographic stops, danda, Arabic and Greek question marks, and in Thai the spaces between words.
+silent, counts of the same evidence over all documents decide, then a short list of common abbreviations (``BEFORE``),
+which alone knows those with periods inside. Abbreviations that may also end a sentence have a list of their own
+(``AFTER``): what follows decides after them. Scripts bring their own terminators: ideographic stops, danda, Arabic and
+Greek question marks, and in Thai the spaces between words.
 
 The counts over all documents are combined before they are shuffled, and an entry is used if it has at least its part,
 one in MODEL_PARTS, of all evidence of its kind; so the model that goes to the executors has fewer than MODEL_PARTS
@@ -43,6 +45,8 @@ BEFORE = frozenset(
     "проф д-р г-н см рис табл т.е т.к стр гл δρ κ κα π.χ βλ εικ πίν".split()
 )
 AFTER = frozenset("etc al co inc ltd corp jr usw uu p.m a.m u.s u.k u.s.a κ.λπ κλπ т.д т.п др ฯลฯ".split())
+#: The forms in which words of BEFORE stand without a period, alone or with a mark after.
+_LISTED = {form + mark: form for w in BEFORE if "." not in w for form in (w, w.capitalize(), w.upper()) for mark in ("", *",;:?!")}
 _BREAK = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*")
 _TERM = re.compile(r"[.!?…。！？｡．؟۔।॥;;|]+")
 _MARK = re.compile(r"""[()\[\]{}"“”„‟‘’«»「」『』（）【】《》〈〉]""")
@@ -75,11 +79,13 @@ _PERIOD = re.compile(r"\.(?:(?=([,;:]))|(?=\s)[^\S\r\n]*(?:\r\n|\n|\r)?[^\S\r\n]
 
 @dataclass
 class Model:
-    """What all documents tell: abbreviations, keys that open sentences, words known in lower case."""
+    """What all documents tell: abbreviations, keys that open sentences, words known in lower case, listed words used
+    as plain words more often than with a period."""
 
     abbreviations: frozenset[str] = frozenset()
     starters: frozenset[str] = frozenset()
     lower: frozenset[str] = frozenset()
+    plain: frozenset[str] = frozenset()
 
 
 class _Document:
@@ -93,6 +99,7 @@ class _Document:
         self._used: dict[str, bool] = {}
         self._all: set[str] | None = None
         self._plain: set[str] | None = None
+        self._bare: set[str] | None = None
 
     def used_as_abbreviation(self, word: str) -> bool:
         """Whether a use of the word with a period here ends no sentence. A word before one that begins sentences is no
@@ -129,6 +136,19 @@ class _Document:
             return False
         return self.used_as_abbreviation(word) or (word in self.model.abbreviations and word not in self.plain)
 
+    def listed(self, word: str) -> bool | None:
+        """Whether a listed word is an abbreviation by the evidence of this document, else of all; None if both are
+        silent."""
+        if self.used_as_abbreviation(word):
+            return True
+        if self._bare is None:
+            self._bare = set(plain_uses(self.text.split()))
+        if word in self._bare:
+            return False
+        if word in self.model.abbreviations:
+            return True
+        return False if word in self.model.plain else None
+
     def common(self, word: str) -> bool:
         low = word.lower()
         return low != word and (low in self.plain or low in self.model.lower)
@@ -178,6 +198,17 @@ def abbreviation_uses(text: str) -> Iterator[tuple[str, str]]:
             yield text[k:p], (m.group(2) or "").rstrip("." + _EDGES)
 
 
+def plain_uses(tokens: list[str]) -> Iterator[str]:
+    """Each use of a listed word as a plain word: without a period, before a mark or a word in lower case. A name or number
+    after it would not tell, as some write "Dr Name" and "Fig 3"."""
+    if _LISTED.keys().isdisjoint(tokens):
+        return
+    for i in [i for i, t in enumerate(tokens) if t in _LISTED]:
+        word = _LISTED[tokens[i]]
+        if tokens[i] != word or (i + 1 < len(tokens) and tokens[i + 1][0].islower()):
+            yield word
+
+
 def _following(use: str) -> bool:
     """Whether what follows a period shows that it ends no sentence."""
     c = use[:1]
@@ -331,6 +362,13 @@ class _Paragraph:
             return None
         return b + 1 if self.after_inner(b, b + 1) else None
 
+    def after_listed(self, abbreviation: bool, n: int, spaced: bool, opens: bool | None) -> bool:
+        """Whether a sentence ends with a listed word that evidence shows to be an abbreviation or a plain word."""
+        if not abbreviation:
+            return spaced if opens is None else opens
+        c = self.text[n]
+        return c not in "([（" and not c.isdigit() and opens is True and self.doc.starts(key_at(self.text, n, self.end))
+
     def period(self, start: int, p: int, q: int, n: int) -> bool:
         """Whether the period at ``p`` ends the sentence that began at ``start``; the next text stands at ``n``."""
         text, doc = self.text, self.doc
@@ -351,7 +389,10 @@ class _Paragraph:
             pair = f"{twice.group(1).lower()}.{bare.lower()}" if twice else ""
             if pair in AFTER:
                 return opens is True
-            if not spaced or pair in BEFORE or bare.lower() in BEFORE or not bare.isupper():
+            known = doc.listed(bare) if spaced and pair not in BEFORE and bare.lower() in BEFORE else None
+            if known is not None and not bare.isupper():
+                return self.after_listed(known, n, spaced, opens)
+            if not spaced or pair in BEFORE or (bare.lower() in BEFORE and known is None) or not bare.isupper():
                 return False
             key = key_at(text, n, self.end)
             return opens is True and c.isupper() and len(key) > 1 and doc.common(key) and doc.starts(key)
@@ -360,7 +401,8 @@ class _Paragraph:
                 return False
             return opens is True or (opens is None and doc.starts(key_at(text, n, self.end)))
         if kind == _STANDS_BEFORE:
-            return False
+            known = doc.listed(bare if bare.lower() in BEFORE else bare.rsplit("-", 1)[-1]) if "." not in bare else None
+            return known is not None and self.after_listed(known, n, spaced, opens)
         if kind == _WITH_PERIODS:
             return spaced and opens is True and doc.starts(key_at(text, n, self.end))
         if kind == _NUMBER and spaced and c.isalpha() and not _INITIAL.match(text, n, self.end):
@@ -469,16 +511,18 @@ def split(text: str | None, model: Model) -> list[tuple[int, int]]:
 
 def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, word, n): the evidence of all documents. Kinds: e, short words with a period; u, those that end no sentence;
-    w, words without a period; s, paragraphs that a key opens."""
+    w, words without a period; s, paragraphs that a key opens; b, listed words used as plain words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: dict[str, Counter] = {k: Counter() for k in "uews"}
+            counts: dict[str, Counter] = {k: Counter() for k in "uewsb"}
             seen: Counter = Counter()
             for t in b.column(0).to_pylist():
-                seen.update(t.split())
+                tokens = t.split()
+                seen.update(tokens)
                 counts["s"].update(key_at(t, after_list_mark(t, a, z), z) for a, z in paragraphs(t))
                 counts["u"].update(w for w, _ in abbreviation_uses(t))
+                counts["b"].update(plain_uses(tokens))
             for token, n in seen.items():
                 word = token.strip(_EDGES)
                 if word.isalpha() and len(word) <= _PLAIN:
@@ -495,7 +539,7 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def corpus_model(docs: DataFrame, text: str = "text", parts: int = MODEL_PARTS) -> Model:
     """The model of all documents; fewer than ``parts`` entries of each kind."""
-    by_word = corpus_counts(docs, text).groupBy("word").pivot("kind", list("uews")).agg(F.first("n")).na.fill(0)
+    by_word = corpus_counts(docs, text).groupBy("word").pivot("kind", list("uewsb")).agg(F.first("n")).na.fill(0)
     totals = by_word.agg(*[F.sum(k).alias(k) for k in "uews"])
     limits = F.broadcast(totals.select(*[F.greatest(F.lit(float(LEAST)), F.coalesce(F.col(k), F.lit(0)) / parts).alias(f"l{k}") for k in "uews"]))
     kept = by_word.crossJoin(limits).select(
@@ -503,9 +547,10 @@ def corpus_model(docs: DataFrame, text: str = "text", parts: int = MODEL_PARTS)
         ((F.col("u") >= F.col("lu")) & (F.col("u") >= 0.3 * F.col("e")) & (F.col("w") <= F.col("u"))).alias("abbreviation"),
         ((F.col("s") >= F.col("ls")) & (F.col("s") >= 0.02 * F.col("w"))).alias("starter"),
         ((F.col("w") >= F.col("lw")) & (F.col("word") == F.lower("word"))).alias("lower"),
+        ((F.col("b") >= LEAST) & (F.col("b") > F.col("e"))).alias("plain"),
     )
-    rows = kept.where("abbreviation or starter or lower").collect()
-    return Model(*(frozenset(r["word"] for r in rows if r[k] and r["word"]) for k in ("abbreviation", "starter", "lower")))
+    rows = kept.where("abbreviation or starter or lower or plain").collect()
+    return Model(*(frozenset(r["word"] for r in rows if r[k] and r["word"]) for k in ("abbreviation", "starter", "lower", "plain")))
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,0 +1,33 @@
+import pytest
+
+from codonlake.llm import sentences
+from codonlake.llm.sentences import Model
+
+M = Model(frozenset(), frozenset({"The", "We", "Then"}), frozenset({"the", "we", "then"}))
+
+
+def cut(text, model=M):
+    return [text[a:b] for a, b in sentences.split(text, model)]
+
+
+@pytest.mark.parametrize("word", ["no", "max", "min", "art", "gen", "col", "ref", "st", "p"])
+def test_the_document_decides_before_the_list(word):
+    parts = [f"It is set to {word}.", "Abel stops.", f"Where {word} is seen, all is well."]
+    assert cut(" ".join(parts)) == parts
+    parts = [f"See {word}. 5 of it.", f"That is the {word}.", "Then we stop.", f"The {word}. Abel value is high."]
+    assert cut(" ".join(parts)) == parts
+
+
+def test_all_documents_decide_before_the_list():
+    text = "The answer is no. Abel stops."
+    assert cut(text, Model(plain=frozenset({"no"}))) == ["The answer is no.", "Abel stops."]
+    assert cut("The answer is no. We stop.", Model(frozenset({"no"}), M.starters, M.lower)) == ["The answer is no.", "We stop."]
+    assert cut(text) == [text]
+    text = "Ask Dr. Brastov, as Dr Abel did. See Fig 3 and Fig. Three."
+    assert cut(text) == ["Ask Dr. Brastov, as Dr Abel did.", "See Fig 3 and Fig. Three."]
+
+
+def test_plain_uses_of_all_documents(spark):
+    texts = ["There is no way, or no."] * 3 + ["Ask Dr Abel and Dr. Abel."] * 3
+    model = sentences.corpus_model(spark.createDataFrame([(t,) for t in [*texts, "No, no such thing"]], "text string"))
+    assert "Dr" not in model.plain and "no" in model.plain
