@@ -13,7 +13,10 @@ more are chosen by rank in a hashed order.
 
 The mixture's size is ``total`` tokens. By default it is the largest size, not above that of all usable texts, at which
 the sources whose cap doesn't allow their share have at most ``slack`` of the target weights together. Such sources are
-used up to their caps; the others get their share of the size, so their proportions are those of the targets.
+used up to their caps; the others get their share of the size, so their proportions are those of the targets. A source
+without usable tokens doesn't limit the size, whatever its weight; nor does one that would allow less than ``NEARLY`` of
+all usable tokens, as long as such sources and all that allow less have at most ``MOST_SHORT`` of the weights. With more
+weight than that on them, the shares go before the size.
 
 A source with one text that is a good part of its tokens may so miss its share by that text.
 
@@ -37,6 +40,8 @@ from codonlake.session import cut, rank_within
 MOST_SOURCES = 10_000
 #: Target weight of the sources that may fall short, at most, where the size isn't given.
 SLACK = 0.15
+#: Part of all usable tokens below which the size isn't brought by sources that have at most MOST_SHORT of the weights.
+NEARLY, MOST_SHORT = 0.1, 0.5
 STEPS = 60
 CLOSE = 1e-7
 
@@ -57,12 +62,14 @@ def mixture_size(pool: dict[str, int], targets: dict[str, tuple[float, int]], sl
     """The default size, from the usable tokens of each source."""
     weight = sum(share for share, _ in targets.values())
     most = sorted((cap * pool.get(s, 0) / share, share) for s, (share, cap) in targets.items())
-    short = 0.0
+    short, usable = 0.0, float(sum(pool.values()))
     for size, share in most:
         short += share
+        if size <= 0 or (size * weight < NEARLY * usable and short <= MOST_SHORT * weight * (1 + 1e-9)):
+            continue
         if short > slack * weight:
-            return min(size * weight, float(sum(pool.values())))
-    return float(sum(pool.values()))
+            return min(size * weight, usable)
+    return usable
 
 
 def wanted_tokens(pool: dict[str, int], targets: dict[str, tuple[float, int]], total: float) -> dict[str, float]:

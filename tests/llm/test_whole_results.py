@@ -1,6 +1,6 @@
 import pytest
 
-from codonlake.llm import sentences
+from codonlake.llm import mixing, sentences
 from codonlake.llm.sentences import Model
 
 M = Model(frozenset(), frozenset({"The", "We", "Then"}), frozenset({"the", "we", "then"}))
@@ -31,3 +31,27 @@ def test_plain_uses_of_all_documents(spark):
     texts = ["There is no way, or no."] * 3 + ["Ask Dr Abel and Dr. Abel."] * 3
     model = sentences.corpus_model(spark.createDataFrame([(t,) for t in [*texts, "No, no such thing"]], "text string"))
     assert "Dr" not in model.plain and "no" in model.plain
+
+
+def mixed(spark, rows, aims):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame(aims, "source string, target_share double, max_repeats int")
+    return {r["source"]: r for r in mixing.shares(mixing.mixture(docs, targets), targets).collect()}
+
+
+@pytest.mark.parametrize("absent", [0.2, 0.35, 0.5])
+@pytest.mark.parametrize("texts", [0, 1])
+def test_a_source_almost_without_texts_does_not_empty_the_mixture(spark, absent, texts):
+    rows = [(i, f"text {i} " + "of some words " * (1 + i % 9), ("faq", "notes")[i % 2]) for i in range(400)] + [(1000 + i, "one more", "tutorial") for i in range(texts)]
+    rest = 1 - absent
+    got = mixed(spark, rows, [("faq", rest * 0.6, 2), ("notes", rest * 0.4, 2), ("tutorial", absent, 2)])
+    assert got["tutorial"]["n_texts"] == texts and (got["tutorial"]["share"] == 0) == (texts == 0)
+    assert got["faq"]["n_texts"] + got["notes"]["n_texts"] > 100
+    assert got["faq"]["n_tokens"] / got["notes"]["n_tokens"] == pytest.approx(1.5, rel=0.05)
+
+
+def test_the_size_of_a_mixture():
+    size = mixing.mixture_size
+    assert size({"b": 1000}, {"a": (0.9, 2), "b": (0.1, 2)}) == 1000 and size({}, {"a": (1.0, 2)}) == 0
+    assert size({"a": 0, "b": 1000, "c": 100}, {"a": (0.2, 2), "b": (0.4, 1), "c": (0.4, 1)}) == pytest.approx(250)
+    assert size({"a": 10, "b": 100_000}, {"a": (0.9, 1), "b": (0.1, 1)}) == pytest.approx(100 / 9)
