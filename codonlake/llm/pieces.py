@@ -54,14 +54,15 @@ def running_sums(values: Column) -> Column:
 
 
 def split_oversized(df: DataFrame, capacity: int, overlap: int, id_col: str = "row_id", gap: int = GAP) -> DataFrame:
-    """(id, letters, cores, core_ends, gaps) of every row with more than ``capacity`` letters; ``gaps`` holds the start
-    and end of each assembly gap, ``cores`` the new letters of each piece."""
+    """(id, letters, cores, core_ends, gaps) of every row with more than ``capacity`` letters; ``cores``
+    holds the new letters of each piece, ``gaps`` the start and end of each assembly gap in them, joined."""
     rows = with_letters(df.where(df[id_col].isNotNull()), [id_col]).where(F.length("letters") > capacity)
     long = rows.select(F.col(id_col).cast("bigint").alias("id"), "letters")
     sizes = lambda c: F.transform(c, lambda x: F.length(x).cast("bigint"))
     got = long.withColumn("cores", F.regexp_extract_all("letters", F.lit(cut_pattern(capacity, overlap, gap)), F.lit(0)))
-    got = got.withColumn("n_runs", F.regexp_extract_all("letters", F.lit(f"N{{{gap},}}"), F.lit(0)))
-    got = got.withColumn("between", F.slice(F.split("letters", f"N{{{gap},}}", -1), F.lit(1), F.size("n_runs")))
+    got = got.withColumn("joined", F.array_join("cores", ""))
+    got = got.withColumn("n_runs", F.regexp_extract_all("joined", F.lit(f"N{{{gap},}}"), F.lit(0)))
+    got = got.withColumn("between", F.slice(F.split("joined", f"N{{{gap},}}", -1), F.lit(1), F.size("n_runs")))
     got = got.withColumn("core_ends", running_sums(sizes(F.col("cores")))).withColumn("run_sizes", sizes(F.col("n_runs")))
     got = got.withColumn("run_ends", running_sums(F.zip_with(sizes(F.col("between")), "run_sizes", lambda a, b: a + b)))
     gaps = F.zip_with("run_ends", "run_sizes", lambda e, s: F.struct((e - s).alias("gap_start"), e.alias("gap_end")))

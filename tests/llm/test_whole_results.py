@@ -1,6 +1,6 @@
 import pytest
 
-from codonlake.llm import mixing, sentences
+from codonlake.llm import mixing, pieces, sentences
 from codonlake.llm.sentences import Model
 
 M = Model(frozenset(), frozenset({"The", "We", "Then"}), frozenset({"the", "we", "then"}))
@@ -55,3 +55,10 @@ def test_the_size_of_a_mixture():
     assert size({"b": 1000}, {"a": (0.9, 2), "b": (0.1, 2)}) == 1000 and size({}, {"a": (1.0, 2)}) == 0
     assert size({"a": 0, "b": 1000, "c": 100}, {"a": (0.2, 2), "b": (0.4, 1), "c": (0.4, 1)}) == pytest.approx(250)
     assert size({"a": 10, "b": 100_000}, {"a": (0.9, 1), "b": (0.1, 1)}) == pytest.approx(100 / 9)
+
+
+def test_gaps_come_from_the_pieces(spark):
+    text = "ACGT" * 240 + "N" * 90 + "ACGT" * 300 + "N" * 1500 + "ACGT" * 50
+    got = pieces.gaps(pieces.split_oversized(spark.createDataFrame([(1, text, "1")], "row_id bigint, sequence string, label string"), 1000, 100))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 960, 1050), (1, 2250, 3750)]
+    assert "(?=N{10})" in got._jdf.queryExecution().optimizedPlan().toString()
