@@ -5,8 +5,8 @@ Two texts are similar if the runs of ``width`` letters they share are at least `
 Method: fast similarity sketches (rounds of hashed bin placement fill all ``t`` coordinates of every set), cut into bands
 of ``per_band`` coordinates. Texts that agree in ``agree`` bands are candidates, and every candidate is checked exactly
 on its whole text. Unrelated texts with a common insert have similarities of 0.05 to 0.2 and often agree in one band,
-rarely in two. With the production parameters (two of 32 bands of 2) a pair of similarity s is lost with a probability
-of about (1 - s^2)^32 + 32 s^2 (1 - s^2)^31: 1 in 850 at exactly 0.5, 1 in 6,800 at 0.55, 1 in 84,000 at 0.6.
+rarely in two. With the production parameters (two of 42 bands of 2) a pair of similarity s is lost with a probability
+of about (1 - s^2)^42 + 42 s^2 (1 - s^2)^41: 1 in 11,800 at exactly 0.5, 1 in 194,000 at 0.55, 1 in 5,600,000 at 0.6.
 
 Defined results: rows with a null identifier and rows with fewer than ``width`` letters are similar to none. Copies of a
 text are one text in all steps and become rows again at the end; rows with equal letters are no near-duplicates of one
@@ -24,7 +24,7 @@ from codonlake.session import cut
 
 WIDTH = 12
 LEAST = 0.5
-BANDS = 32
+BANDS = 42
 PER_BAND = 2
 AGREE = 2
 

@@ -1,6 +1,6 @@
 import pytest
 
-from codonlake.llm import mixing, pieces, sentences
+from codonlake.llm import mixing, near, overlap, pieces, sentences
 from codonlake.llm.sentences import Model
 
 M = Model(frozenset(), frozenset({"The", "We", "Then"}), frozenset({"the", "we", "then"}))
@@ -62,3 +62,9 @@ def test_gaps_come_from_the_pieces(spark):
     got = pieces.gaps(pieces.split_oversized(spark.createDataFrame([(1, text, "1")], "row_id bigint, sequence string, label string"), 1000, 100))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 960, 1050), (1, 2250, 3750)]
     assert "(?=N{10})" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_two_blocks_lose_no_more_than_one_did():
+    lost = lambda n: 0.75**n + n * 0.25 * 0.75 ** (n - 1)
+    assert near.AGREE == overlap.AGREE == 2
+    assert lost(near.BANDS) <= 0.75**32 and lost(overlap.SEGMENTS) <= 0.75**24
