@@ -77,6 +77,12 @@ def plot_radar(spark, sf):
     return out.select("model", "metric", "place", *[F.round(c, 6).alias(c) for c in ("angle", "x", "y")])
 
 
+@query("plot_radar_whole", f"WITH {SCORED}, {_WIDE}, d AS (SELECT split, model, metric, value, row_number() OVER (PARTITION BY split, model ORDER BY metric) - 1 AS place, count(*) OVER (PARTITION BY split, model) AS n FROM bench), z AS (SELECT * FROM d UNION ALL SELECT split, model, metric, value, n, n FROM d WHERE place = 0) SELECT split, model, metric, place, round(place * 2 * pi() / n, 6) AS angle, round(value * cos(place * 2 * pi() / n), 6) AS x, round(value * sin(place * 2 * pi() / n), 6) AS y FROM z")
+def plot_radar_whole(spark, sf):
+    out = pl.radar(_bench(spark, sf).select(F.struct("split", "model").alias("key"), "metric", "value"), "key")
+    return out.select("key.split", "key.model", "metric", "place", *[F.round(c, 6).alias(c) for c in ("angle", "x", "y")])
+
+
 _GRID = [i / 20 for i in range(21)]
 
 

@@ -27,3 +27,13 @@ def test_overlap_left_join_takes_all_genes(spark, tmp_path):
     got = sorted(tuple(r) for r in registry.queries()["overlap_left_join"](spark, str(tmp_path)).collect())
     want = {90: -1, 145: 100, 205: 200, 340: 301, 345: 301, 460: -1, 2000: -1}
     assert got == sorted([("chr1", a, a + 10, f"e{a}", b, b + 50 if b >= 0 else -1) for a, b in want.items()] + [("chr2", 205, 215, "e2", -1, -1)])
+
+
+def test_whole_values_are_returned(spark):
+    sf = "/root/testdata/sf0.001"
+    q = registry.queries()
+    assert {"attention_norms_whole", "kmer_features_whole", "plot_radar_whole"} <= set(registry.oracle_sql())
+    row = q["attention_norms_whole"](spark, sf).first()
+    assert all(len(row[c]) == 64 for c in ("softmax", "minmax", "l1", "l2", "z"))
+    assert len(q["kmer_features_whole"](spark, sf).first()["shares"]) == 16
+    assert {r["split"] for r in q["plot_radar_whole"](spark, sf).select("split").distinct().collect()} == {"dev", "test"}
