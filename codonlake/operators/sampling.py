@@ -11,16 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 4096
+#: One above the largest hash.
+MODULUS = 1 << 31
 
 
 def hash31(id_: Column, seed: int = 0) -> Column:
-    """A hash below 2^31 by a linear congruence."""
-    return F.pmod((id_ + seed) * 1103515245 + 12345, F.lit(2147483648))
+    """A hash below 2^31 by a linear congruence. The identifier is reduced first, so one of any size or sign is fine."""
+    return F.pmod((F.pmod(id_.cast("bigint"), F.lit(MODULUS)) + seed % MODULUS) * 1103515245 + 12345, F.lit(MODULUS))
 
 
 def places(df: DataFrame, id_col: str, by: list[str], seed: int = 0) -> DataFrame:
     """Add ``place`` (from 0, in hash order within the group) and ``size`` (rows of the group)."""
-    h = df.withColumn("__h", hash31(F.col(id_col), seed)).withColumn("__range", F.floor(F.col("__h") / (2147483648 // RANGES)).cast("int"))
+    h = df.withColumn("__h", hash31(F.col(id_col), seed)).withColumn("__range", F.floor(F.col("__h") / (MODULUS // RANGES)).cast("int"))
     counts = h.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(*by)).alias("size"))
@@ -74,7 +76,7 @@ def batch_ids(df: DataFrame, id_col: str, size: int) -> DataFrame:
 def bases(df: DataFrame, id_col: str, length: Column, n_share: float = 0.0, seed: int = 0, out: str = "sequence") -> DataFrame:
     """Add a generated sequence: each base from a hash of the row, its place and the seed."""
     def base(i: Column) -> Column:
-        h = hash31(hash31(F.col(id_col) * 7919 + i, seed) + i, seed)
+        h = hash31(hash31(F.pmod(F.col(id_col).cast("bigint"), F.lit(MODULUS)) * 7919 + i, seed) + i, seed)
         return F.when(h % 10_000 < int(n_share * 10_000), "N").otherwise(F.substring(F.lit("ACGT"), (F.floor(h / 65536) % 4).cast("int") + 1, F.lit(1)))
 
     made = F.array_join(F.transform(F.sequence(F.lit(1), length), base), "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 _own_dirs: dict[str, str] = {}
-#: Tables written by ``cut`` in this process; they go when it ends.
+#: Tables written by ``cut`` in this process that are still there.
 _tables: list[tuple[SparkSession, str]] = []
 
 
@@ -52,17 +52,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @atexit.register
-def _remove_tables() -> None:
-    for spark, path in _tables:
-        local = path.removeprefix("file://")
-        if local.startswith("/"):
-            shutil.rmtree(local, ignore_errors=True)
-            continue
+def remove_tables() -> None:
+    """Remove the tables ``cut`` wrote so far, through the file system each lies in. A process that lives long calls this
+    when the results that read them are done with; it is called at the end in any case."""
+    while _tables:
+        spark, path = _tables.pop()
         try:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # the session is gone; its folder is the cluster's to clear
-            return
+        except Exception:  # the session is gone: only a local folder can still be removed
+            if path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def cut(df: DataFrame) -> DataFrame:
