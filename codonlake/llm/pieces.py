@@ -5,10 +5,10 @@ A sequence with more letters than ``capacity`` is cut into pieces of at most ``c
 
 Method: bounded-quantifier regular expressions, extracted by SQL array functions. The new letters of each piece are one
 match; the alternatives, in order of boundary strength, take as many letters as the limit allows: all that is left, up to
-behind the last gap in reach, up to the last gap that begins in reach, or else up to the limit. Looking back ``overlap``
-letters from where the new letters begin gives the piece its start. A match is longer than the overlap unless it is the
-last, so a piece never lies within the one before. Positions are running sums over the matches, taken in two levels so
-that very long sequences don't cost the square of their pieces.
+behind the last gap in reach, up to the last gap that begins in reach, or else up to the limit. A match is longer than
+the overlap unless it is the last, so the last ``overlap`` letters of the match before are what a piece shares with the
+piece before it, and no piece lies within another. No piece is taken from the whole sequence, and positions are running
+sums over the matches in two levels, so very long sequences don't cost the square of their pieces.
 
 Defined results: rows with a null identifier, and rows whose letters don't exceed ``capacity`` (also rows without
 letters), have no pieces and no gaps. Repeated rows are cut each on its own. Columns beside those named are ignored.
@@ -54,8 +54,8 @@ def running_sums(values: Column) -> Column:
 
 
 def split_oversized(df: DataFrame, capacity: int, overlap: int, id_col: str = "row_id", gap: int = GAP) -> DataFrame:
-    """(id, letters, cores, core_ends, gaps) of every row with more than ``capacity`` letters; ``cores``
-    holds the new letters of each piece, ``gaps`` the start and end of each assembly gap in them, joined."""
+    """(id, cores, core_ends, gaps) of every row with more than ``capacity`` letters; ``cores`` holds the new letters of
+    each piece, ``gaps`` the start and end of each assembly gap in them, joined."""
     rows = with_letters(df.where(df[id_col].isNotNull()), [id_col]).where(F.length("letters") > capacity)
     long = rows.select(F.col(id_col).cast("bigint").alias("id"), "letters")
     sizes = lambda c: F.transform(c, lambda x: F.length(x).cast("bigint"))
@@ -66,7 +66,7 @@ def split_oversized(df: DataFrame, capacity: int, overlap: int, id_col: str = "r
     got = got.withColumn("core_ends", running_sums(sizes(F.col("cores")))).withColumn("run_sizes", sizes(F.col("n_runs")))
     got = got.withColumn("run_ends", running_sums(F.zip_with(sizes(F.col("between")), "run_sizes", lambda a, b: a + b)))
     gaps = F.zip_with("run_ends", "run_sizes", lambda e, s: F.struct((e - s).alias("gap_start"), e.alias("gap_end")))
-    return got.select("id", "letters", "cores", "core_ends", gaps.alias("gaps"))
+    return got.select("id", "cores", "core_ends", gaps.alias("gaps"))
 
 
 def gaps(split: DataFrame) -> DataFrame:
@@ -80,15 +80,21 @@ def pieces(split: DataFrame, overlap: int, gap: int = GAP) -> DataFrame:
 
     ``boundary`` says what the piece ends at: ``end``, ``after_gap``, ``before_gap`` or ``letter``.
     """
-    each = split.select("id", "letters", "core_ends", "cores", F.posexplode("cores").alias("piece_no", "core"))
-    end = F.element_at("core_ends", F.col("piece_no") + 1)
-    start = F.greatest(F.lit(0).cast("bigint"), end - F.length("core") - overlap)
-    following = F.try_element_at("cores", F.col("piece_no") + 2)
-    boundary = (
-        F.when(following.isNull(), "end")
-        .when(F.col("core").endswith("N" * gap) & ~following.startswith("N"), "after_gap")
-        .when(following.startswith("N" * gap) & ~F.col("core").endswith("N"), "before_gap")
-        .otherwise("letter")
-    )
-    located = each.select("id", "piece_no", start.alias("piece_start"), end.alias("piece_end"), boundary.alias("boundary"), "letters")
-    return located.withColumn("piece", F.substring("letters", F.col("piece_start") + 1, F.col("piece_end") - F.col("piece_start"))).drop("letters")
+    core = lambda i: F.get("cores", i)
+    known = lambda c: F.coalesce(c, F.lit(""))
+
+    def boundary(i: Column) -> Column:
+        following = core(i + 1)
+        return (
+            F.when(following.isNull(), "end")
+            .when(core(i).endswith("N" * gap) & ~following.startswith("N"), "after_gap")
+            .when(following.startswith("N" * gap) & ~core(i).endswith("N"), "before_gap")
+            .otherwise("letter")
+        )
+
+    def piece(e: Column, i: Column) -> Column:
+        start = F.greatest(F.lit(0).cast("bigint"), e - F.length(core(i)) - overlap)
+        before = F.right(known(core(i - 1)), F.lit(overlap)) if overlap else F.lit("")
+        return F.struct(i.alias("piece_no"), start.alias("piece_start"), e.alias("piece_end"), boundary(i).alias("boundary"), F.concat(before, core(i)).alias("piece"))
+
+    return split.select("id", F.explode(F.transform("core_ends", piece)).alias("p")).select("id", "p.*")

@@ -140,12 +140,37 @@ def _pieces(spark: SparkSession, sf: str, profile: str) -> DataFrame:
     return pieces.pieces(pieces.split_oversized(read_table(spark, sf, "dev"), capacity, overlap_size), overlap_size).withColumnRenamed("id", "row_id")
 
 
-@query("p5_pieces")
+def _pieces_sql(profile: str) -> str:
+    """The cut, piece by piece: all that is left, up to behind the last gap in reach, to before it, or to the limit."""
+    gap_at = "substr(win, e::int + 1, 10) = repeat('N', 10)"
+    return f"""WITH RECURSIVE lim AS (SELECT capacity AS cap, overlap_size AS ov FROM size_limits WHERE profile = '{profile}'), {_letters("dev")}, long AS (
+  SELECT row_id, letters, cap, ov FROM lettered, lim WHERE length(letters) > cap
+), walk AS (
+  SELECT row_id, letters, cap, ov, -1 AS piece_no, 0 AS start, 0 AS stop, '' AS boundary FROM long
+  UNION ALL
+  SELECT row_id, letters, cap, ov, piece_no + 1, stop, stop + coalesce(last, behind, before, most),
+         CASE WHEN last IS NOT NULL THEN 'end' WHEN behind IS NOT NULL THEN 'after_gap' WHEN before IS NOT NULL THEN 'before_gap' ELSE 'letter' END
+  FROM (
+    SELECT *, CASE WHEN length(letters) - stop <= most THEN length(letters) - stop END AS last,
+           list_max(list_filter(ends, lambda e: e >= 10 AND substr(win, e::int - 9, 10) = repeat('N', 10) AND substr(win, e::int + 1, 1) <> 'N')) AS behind,
+           list_max(list_filter(ends, lambda e: {gap_at} AND substr(win, e::int, 1) <> 'N')) AS before
+    FROM (
+      SELECT *, substr(letters, stop + 1, most + 10) AS win, range(ov + 1, most + 1) AS ends
+      FROM (SELECT *, CASE WHEN piece_no < 0 THEN cap ELSE cap - ov END AS most FROM walk WHERE stop < length(letters))
+    )
+  )
+)
+SELECT row_id, piece_no, greatest(0, start - ov)::bigint AS piece_start, stop::bigint AS piece_end, boundary,
+       substr(letters, greatest(0, start - ov) + 1, stop - greatest(0, start - ov)) AS piece
+FROM walk WHERE piece_no >= 0"""
+
+
+@query("p5_pieces", _pieces_sql("sequence_piece"))
 def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf, "sequence_piece")
 
 
-@query("p5_pieces_short")
+@query("p5_pieces_short", _pieces_sql("sequence_piece_short"))
 def p5_pieces_short(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf, "sequence_piece_short")
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from codonlake.llm import pieces
 
@@ -71,3 +72,18 @@ def test_empty_and_repeated(spark):
     assert pieces.gaps(pieces.split_oversized(frame(spark, []), 1000, 100)).collect() == []
     twice = frame(spark, [(1, "ACGT" * 300)] * 2)
     assert [tuple(r) for r in pieces.gaps(pieces.split_oversized(twice, 1000, 100)).collect()] == [(1, -1, -1)] * 2
+
+
+def test_time_grows_with_the_letters_not_with_their_square(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(1).select(F.col("id").alias("row_id"), F.repeat(F.lit("ACGTTGCA" * 125 + "N" * 24), n).alias("sequence"), F.lit("1").alias("label"))
+        began = time.time()
+        got = pieces.pieces(pieces.split_oversized(df, 1000, 100), 100).agg(F.sum(F.length("piece")), F.count("piece")).first()
+        return time.time() - began, got
+
+    seconds(200)
+    short, few = seconds(1000)
+    long, many = seconds(4000)
+    assert abs(many[1] / few[1] - 4) < 0.1 and long < 10 * short + 2
