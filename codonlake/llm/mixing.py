@@ -12,11 +12,12 @@ length: the copies of a source differ from its rates by less than one text in al
 more are chosen by rank in a hashed order.
 
 The mixture's size is ``total`` tokens. By default it is the largest size, not above that of all usable texts, at which
-the sources whose cap doesn't allow their share have at most ``slack`` of the target weights together. Such sources are
-used up to their caps; the others get their share of the size, so their proportions are those of the targets. A source
-without usable tokens doesn't limit the size, whatever its weight; nor does one that would allow less than ``NEARLY`` of
-all usable tokens, as long as such sources and all that allow less have at most ``MOST_SHORT`` of the weights. With more
-weight than that on them, the shares go before the size.
+every source that has usable texts and a cap above 0 gets its share, so the targets go before the size: a source with
+few tokens and a large share makes the mixture small. A source without usable texts never limits the size; nor does one
+that would allow less than ``NEARLY`` of all usable tokens, as long as such sources and all that allow less have at most
+``MOST_SHORT`` of the weights. ``slack`` allows a larger size, at which the sources that limit it most fall short, as long
+as they have at most ``slack`` of the target weights together. Sources that fall short are used up to their caps, and the
+others keep the proportions of their targets.
 
 A source with one text that is a good part of its tokens may so miss its share by that text.
 
@@ -38,10 +39,8 @@ from codonlake.session import cut, rank_within
 
 #: Sources with a target at most: they are handled one by one on the driver.
 MOST_SOURCES = 10_000
-#: Target weight of the sources that may fall short, at most, where the size isn't given.
-SLACK = 0.15
 #: Part of all usable tokens below which the size isn't brought by sources that have at most MOST_SHORT of the weights.
-NEARLY, MOST_SHORT = 0.1, 0.5
+NEARLY, MOST_SHORT = 0.01, 0.5
 STEPS = 60
 CLOSE = 1e-7
 
@@ -58,17 +57,19 @@ def targets_of(targets: DataFrame) -> dict[str, tuple[float, int]]:
     return {r["s"]: (float(r["target_share"]), max(0, int(r["max_repeats"] or 0))) for r in rows}
 
 
-def mixture_size(pool: dict[str, int], targets: dict[str, tuple[float, int]], slack: float = SLACK) -> float:
+def mixture_size(pool: dict[str, int], targets: dict[str, tuple[float, int]], slack: float = 0.0) -> float:
     """The default size, from the usable tokens of each source."""
     weight = sum(share for share, _ in targets.values())
-    most = sorted((cap * pool.get(s, 0) / share, share) for s, (share, cap) in targets.items())
+    most = sorted((cap * pool.get(s, 0) / share * weight, share) for s, (share, cap) in targets.items())
     short, usable = 0.0, float(sum(pool.values()))
     for size, share in most:
         short += share
-        if size <= 0 or (size * weight < NEARLY * usable and short <= MOST_SHORT * weight * (1 + 1e-9)):
+        if size <= 0:
             continue
-        if short > slack * weight:
-            return min(size * weight, usable)
+        if size < NEARLY * usable and short <= MOST_SHORT * weight * (1 + 1e-9):
+            continue
+        if short > slack * weight * (1 + 1e-9):
+            return min(size, usable)
     return usable
 
 
@@ -126,7 +127,7 @@ def pool_of(df: DataFrame, targets: dict[str, tuple[float, int]], id_col: str =
     return cut(first.select("x.*", "h1", "h2"))
 
 
-def mixture(df: DataFrame, targets: DataFrame, total: float | None = None, **columns: str) -> DataFrame:
+def mixture(df: DataFrame, targets: DataFrame, total: float | None = None, slack: float = 0.0, **columns: str) -> DataFrame:
     """(id, source, n_tokens, rate, copies) of every text that is used at least once."""
     aims = targets_of(targets)
     pool = pool_of(df, aims, **columns)
@@ -134,7 +135,7 @@ def mixture(df: DataFrame, targets: DataFrame, total: float | None = None, **col
     sums = {r["source"]: (int(r["t"]), int(r["c"])) for r in cells.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t"), F.sum("n").alias("c")).collect()}
     caps = {s: cap for s, (_, cap) in aims.items()}
     tokens = {s: t for s, (t, _) in sums.items()}
-    want = wanted_tokens(tokens, aims, mixture_size(tokens, aims) if total is None else float(total))
+    want = wanted_tokens(tokens, aims, mixture_size(tokens, aims, slack) if total is None else float(total))
     rated = _rates(cells, solve(cells, sums, want, caps), caps, {s: t / n for s, (t, n) in sums.items()})
     by_length = Window.partitionBy("source").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = F.sum(F.col("n") * (F.col("rate") - F.floor("rate"))).over(by_length)
@@ -147,7 +148,27 @@ def mixture(df: DataFrame, targets: DataFrame, total: float | None = None, **col
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, n_texts, most_copies, n_tokens, share): what each target got."""
-    got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.max("copies").alias("most_copies"), F.sum(F.col("copies").cast("bigint") * F.col("n_tokens")).alias("n_tokens"))
-    rows = targets.select(plain_source(F.col("source")).alias("source"), "target_share", "max_repeats").join(got, "source", "left").na.fill(0, ["n_texts", "most_copies", "n_tokens"])
-    return rows.withColumn("share", F.coalesce(F.try_divide(F.col("n_tokens"), F.sum("n_tokens").over(Window.partitionBy())), F.lit(0.0)))
+    """(source, target_share, max_repeats, n_texts, most_copies, largest_text, n_tokens, share, capped, mixture_tokens):
+    what each target got. ``capped`` sources can give no more, as each of their texts is used as often as allowed, or
+    there are none."""
+    got = mixed.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_texts"), F.max("copies").alias("most_copies"), F.max("n_tokens").alias("largest_text"),
+        F.sum(F.col("copies").cast("bigint") * F.col("n_tokens")).alias("n_tokens"), F.min("rate").alias("__least"),
+    )
+    rows = targets.select(plain_source(F.col("source")).alias("source"), "target_share", "max_repeats").join(got, "source", "left")
+    rows = rows.na.fill(0, ["n_texts", "most_copies", "largest_text", "n_tokens"])
+    all_ = F.sum("n_tokens").over(Window.partitionBy())
+    capped = F.coalesce(F.col("__least") >= F.col("max_repeats"), F.lit(True))
+    return rows.select("*", F.coalesce(F.try_divide(F.col("n_tokens"), all_), F.lit(0.0)).alias("share"), capped.alias("capped"), all_.alias("mixture_tokens")).drop("__least")
+
+
+def kept_promises(shared: DataFrame) -> DataFrame:
+    """(source, has_texts, within_cap, share_met) of a mixture of the default size, from its ``shares``. A share counts as
+    met if it is off by no more than the rounding to whole texts allows: one text of the source, and its share of one text
+    of every source."""
+    everything = Window.partitionBy()
+    present = F.sum(F.when(F.col("n_texts") > 0, F.col("target_share"))).over(everything)
+    share = F.col("target_share") / present
+    off = F.abs(F.col("n_tokens") - share * F.col("mixture_tokens"))
+    met = (F.col("n_texts") > 0) & (off <= F.col("largest_text") + share * F.sum("largest_text").over(everything) + 1)
+    return shared.select("source", (F.col("n_texts") > 0).alias("has_texts"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), met.alias("share_met"))

@@ -207,6 +207,19 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(mixing.mixture(read_table(spark, sf, "documents"), targets), targets)
 
 
+_PLAIN = "regexp_replace(lower(trim({0})), '[\\s_-]+', '_', 'g')"
+
+
+@query(
+    "p7_promises",
+    f"""WITH known AS (SELECT DISTINCT {_PLAIN.format("source")} AS source FROM documents WHERE text <> '')
+SELECT {_PLAIN.format("t.source")} AS source, k.source IS NOT NULL AS has_texts, true AS within_cap, k.source IS NOT NULL AS share_met
+FROM mix_targets t LEFT JOIN known k ON k.source = {_PLAIN.format("t.source")}""",
+)
+def p7_promises(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.kept_promises(p7_shares(spark, sf))
+
+
 @query("p8_found")
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentences(read_table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
