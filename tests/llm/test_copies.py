@@ -53,3 +53,17 @@ def test_empty_table(spark):
 def test_repeated_rows(spark):
     data = [(1, "A", "1"), (1, "A", "1"), (2, "a", "1")]
     assert sorted(tuple(r) for r in copies.hidden_copies(rows(spark, data), "row_id", ["sequence", "label"]).collect()) == [(1, 2)]
+
+
+def test_records_of_repeated_identifiers(spark):
+    data = [(1, "a", "1"), (1, "A", "1"), (1, "C", "1"), (1, "C", "1"), (2, "c.", "1"), (3, "G", "1")]
+    got = sorted(tuple(r) for r in copies.records(rows(spark, data), "row_id", ["sequence", "label"]).collect())
+    assert got == [(1, 2, "A", "1"), (1, 3, "C", "1"), (3, 1, "G", "1")]
+
+
+def test_a_third_of_the_rows_in_one_key_by_default(spark):
+    data = [(i, "ACGT" if i % 3 == 0 else f"ACGT{i // 2}", "1") for i in range(1, 3000)]
+    df = rows(spark, data)
+    keys = copies.canonical_keys(df, "row_id", ["sequence", "label"])
+    assert copies.hot_keys(keys, len(data), hot_parts=4).count() == 1
+    assert sorted(tuple(r) for r in copies.hidden_copies(df, "row_id", ["sequence", "label"]).collect()) == brute(data)
