@@ -57,5 +57,6 @@ def near_duplicates(df: DataFrame, id_col: str = "row_id", **params: float) -> D
     """(id_a, id_b, similarity), id_a < id_b: all pairs of rows whose letters differ and are similar."""
     pairs, rows = similar_texts(df, id_col, **params)
     a, b = rows.select(F.col("tid").alias("tid_a"), F.col("id").alias("x")), rows.select(F.col("tid").alias("tid_b"), F.col("id").alias("y"))
-    both = pairs.join(a, "tid_a").join(b, "tid_b")
+    first = blocking.joined_rows(pairs, a, ["tid_a"], "tid_b", "x")
+    both = blocking.joined_rows(first, b, ["tid_b"], "x", "y")
     return both.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonlake.llm import copies, mixing, near, overlap, packing, pieces, sentences
+from codonlake.llm import copies, groups, mixing, near, overlap, packing, pieces, sentences
 from codonlake.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,11 +67,13 @@ def _runs(source: str, name: str) -> str:
 ), {name}_n AS (SELECT letters, count(*) AS n FROM {name}_r GROUP BY letters)"""
 
 
-_NEAR = f"""WITH {_letters("dev")}, {_runs("lettered", "t")}, common AS (
+_NEAR_TEXTS = f"""{_letters("dev")}, {_runs("lettered", "t")}, common AS (
   SELECT a.letters AS la, b.letters AS lb, count(*) AS c FROM t_r a JOIN t_r b ON a.run = b.run AND a.letters < b.letters GROUP BY ALL
 ), near AS (
   SELECT la, lb FROM common JOIN t_n x ON x.letters = la JOIN t_n y ON y.letters = lb WHERE c >= 0.5::double * (x.n + y.n - c)
-)
+)"""
+
+_NEAR = f"""WITH {_NEAR_TEXTS}
 SELECT least(a.row_id, b.row_id) AS row_id_a, greatest(a.row_id, b.row_id) AS row_id_b
 FROM near JOIN lettered a ON a.letters = la JOIN lettered b ON b.letters = lb"""
 
@@ -91,6 +93,18 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
 
 
+@query(
+    "p2_groups",
+    f"""WITH RECURSIVE {_NEAR_TEXTS}, links AS (SELECT la AS a, lb AS b FROM near UNION ALL SELECT lb, la FROM near), reach AS (
+  SELECT a AS x, a AS y FROM links UNION SELECT reach.x, links.b FROM reach JOIN links ON reach.y = links.a
+), root AS (SELECT x, min(y) AS root FROM reach GROUP BY x), n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT row_id, CASE WHEN length(letters) < 12 THEN row_id ELSE min(row_id) OVER (PARTITION BY coalesce(root, letters)) END AS group_id, coalesce(n_links, 0)::bigint AS n_links
+FROM lettered LEFT JOIN root ON x = letters LEFT JOIN n ON a = letters""",
+)
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return groups.near_duplicate_groups(read_table(spark, sf, "dev")).withColumnRenamed("id", "row_id")
+
+
 def _splits(spark: SparkSession, sf: str) -> tuple[list[DataFrame], DataFrame]:
     return [read_table(spark, sf, "dev"), read_table(spark, sf, "test")], read_table(spark, sf, "train")
 

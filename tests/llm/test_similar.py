@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from codonlake.llm import blocking, near, overlap, sketch
 
@@ -106,6 +107,50 @@ def test_hot_blocks_lose_no_pair(spark):
     assert sorted(got) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
 
 
+@pytest.mark.parametrize("agree", [1, 2])
+@pytest.mark.parametrize("two_sides", [False, True])
+def test_salted_records_and_large_blocks_give_the_pairs_of_brute_force(spark, two_sides, agree):
+    rng = random.Random(11)
+    held = {h: {1} | ({2} if h % 3 == 0 else set()) | {rng.randrange(10, 60) for _ in range(3)} | {100 + h} for h in range(150)}
+    side = {h: h % 2 if two_sides else 0 for h in held}
+    records = [(k, h << 1 | side[h]) for h, ks in held.items() for k in sorted(ks)]
+    rng.shuffle(records)
+    out = []
+    for part in range(3):  # three sketching tasks, with copies of some records
+        salted = blocking.Salting(local=5)
+        mine = records[part::3] + records[:40]
+        for i in range(0, len(mine), 50):
+            keys, hs = salted(np.array([k for k, _ in mine[i : i + 50]], np.int64), np.array([x for _, x in mine[i : i + 50]], np.int64))
+            out += list(zip(keys.tolist(), hs.tolist(), strict=True))
+    blocks = blocking.shared_blocks(spark.createDataFrame(out, "key bigint, hs bigint"), two_sides)
+    assert blocks.where("hot").count() > 100 and blocks.where("not hot").count() > 0
+    sizes = spark.createDataFrame(out, "key bigint, hs bigint").groupBy("key").count().agg(F.max("count")).first()[0]
+    assert sizes < 60  # no group of the shuffle has the 150 texts of block 1
+    got = sorted(tuple(r) for r in blocking.candidates(blocks, two_sides, agree, cell=7).collect())
+    pairs = [(a, b) for a in held for b in held if (side[a] < side[b] if two_sides else a < b)]
+    assert got == sorted(p for p in pairs if len(held[p[0]] & held[p[1]]) >= agree)
+
+
+def test_half_of_all_texts_in_one_block(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "LOCAL", 8)
+    rng = random.Random(4)
+    insert = "".join(rng.choice("ACGT") for _ in range(60))
+    alone = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    seqs = [alone(30) + insert + alone(30) for _ in range(80)] + [alone(120) for _ in range(60)]
+    seqs += [s[:50] + "A" + s[50:] for s in seqs[:10]] + family(rng, 25, 200, 0.01)
+    data = [(i, s, "1") for i, s in enumerate(seqs)]
+    got = {(r[0], r[1]) for r in near.near_duplicates(frame(spark, data)).collect()}
+    assert got == {(i, j) for i, a, _ in data for j, b, _ in data if i < j and a != b and sim(a, b) >= 0.5}
+
+
+def test_rows_of_a_hot_text_are_spread(spark):
+    left = spark.createDataFrame([(k, i) for k in (1, 2, 3) for i in range(20 if k == 1 else 3)], "k bigint, x bigint")
+    right = spark.createDataFrame([(k, i) for k in (1, 2, 4) for i in range(35 if k == 2 else 4)], "k bigint, y bigint")
+    want = sorted(tuple(r) for r in left.join(right, "k").collect())
+    for both in (False, True):
+        assert sorted(tuple(r) for r in blocking.joined_rows(left, right, ["k"], "x", "y", both, rows=6).collect()) == want
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert near.near_duplicates(none).collect() == []
