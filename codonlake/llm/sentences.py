@@ -14,9 +14,15 @@ which alone knows those with periods inside. Abbreviations that may also end a s
 (``AFTER``): what follows decides after them. Scripts bring their own terminators: ideographic stops, danda, Arabic and
 Greek question marks, and in Thai the spaces between words.
 
-The counts over all documents are combined before they are shuffled, and an entry is used if it has at least its part,
-one in MODEL_PARTS, of all evidence of its kind; so the model that goes to the executors has fewer than MODEL_PARTS
-entries of a kind, whatever the data.
+What follows an abbreviation begins a sentence only if it is known to begin sentences and is no name: a capitalised word
+that neither the document nor any other has in lower case is taken for a name.
+
+The counts over all documents are combined before they are shuffled. An entry is used from LEAST uses on and by the ratio
+of its uses, never by its part of the corpus, so more documents don't weaken what is known. The entries are a table. Up
+to MODEL_ROWS of them (counted) go to every task; if there are more, each text asks for the words it may need
+(``questions``), and the answers come by a join. Both ways give the same sentences.
+
+An abbreviation has at most SHORT letters by definition. Keys and words beyond LONGEST letters are known by a 128-bit hash.
 
 Defined results: a null, empty or blank text has no sentences; a null identifier is kept. Repeated rows are split each
 on its own. A paragraph without a terminator is one sentence. Columns beside those named are ignored.
@@ -25,18 +31,28 @@ on its own. A paragraph without a terminator is one sentence. Columns beside tho
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MODEL_PARTS = 100_000
+from codonlake.llm.blocking import joined_rows
+from codonlake.session import cut, small_enough
+
+#: Entries of the model that go to every task, at most.
+MODEL_ROWS = 200_000
 #: Evidence an entry needs at least.
 LEAST = 2
+#: Letters of a word that may be an abbreviation, and of a word that is known by its letters.
+SHORT, LONGEST = 6, 64
 
 # Abbreviations that stand before a name, number or example, and those that may end a sentence.
 BEFORE = frozenset(
@@ -69,10 +85,13 @@ _SPACED_INITIAL = re.compile(r"(\w)\.\s?\w$")
 _NO_PERIODS = re.compile(r"[฀-๿ऀ-ॿ]$")
 _DOTTED = re.compile(r"(?:[^\W\d_]{1,2}\.-?)+[^\W\d_]{1,2}$")
 _EDGES = "()[]{}\"“”„‟‘’'«»「」『』，。、,;:!?…¿¡"
-#: Letters of a word that may be an abbreviation, and of a plain word that is remembered, at most.
-_SHORT, _PLAIN = 6, 12
-#: Characters of a link that are looked back over, and of a text from which its abbreviations are found in one pass.
-_LINK, _LONG = 4096, 1 << 17
+#: Characters of a text from which on its abbreviations are found in one pass, which gives the same.
+_LONG = 1 << 17
+#: Characters within which a space is looked for before a word is walked back over.
+_NEAR = 40
+_WORD_END, _HYPHENED_END = re.compile(r"[^\W\d_]+$"), re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+$")
+_DOTTED_RUN = re.compile(r"(?:[^\W\d_]{1,2}\.-?)+")
+_WORD_EDGE = re.compile(r"[\s()\[\]{}\"“”„«»‘。！？，、：；「」『』（）/…]")
 _AFTER_USE = re.compile(r"([,;:])|(?=\s)[^\S\r\n]*(?:\r\n|\n|\r)?[^\S\r\n]*(\S+)")
 _PERIOD = re.compile(r"\.(?:(?=([,;:]))|(?=\s)[^\S\r\n]*(?:\r\n|\n|\r)?[^\S\r\n]*(?=(\S+)))")
 
@@ -88,6 +107,11 @@ class Model:
     plain: frozenset[str] = frozenset()
 
 
+def entry(word: str) -> str:
+    """What a word is known by in the model."""
+    return word if len(word) <= LONGEST else "\0" + blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 class _Document:
     """The evidence of one document, found when it is first asked for, with the model of all."""
 
@@ -129,10 +153,14 @@ class _Document:
         return self._plain
 
     def starts(self, key: str) -> bool:
-        return bool(key) and (key in self.starters or key in self.model.starters)
+        return bool(key) and (key in self.starters or entry(key) in self.model.starters)
+
+    def begins(self, key: str) -> bool:
+        """Whether a sentence begins with the key after an abbreviation: it is known to begin sentences and is no name."""
+        return self.starts(key) and not (key[0].isupper() and len(key) > 1 and not self.common(key))
 
     def abbreviation(self, word: str) -> bool:
-        if not (word.isalpha() and len(word) <= _SHORT):
+        if not (word.isalpha() and len(word) <= SHORT):
             return False
         return self.used_as_abbreviation(word) or (word in self.model.abbreviations and word not in self.plain)
 
@@ -151,7 +179,7 @@ class _Document:
 
     def common(self, word: str) -> bool:
         low = word.lower()
-        return low != word and (low in self.plain or low in self.model.lower)
+        return low != word and (low in self.plain or entry(low) in self.model.lower)
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -174,7 +202,7 @@ def key_at(text: str, at: int, end: int) -> str:
     while at < end and text[at] in _QUOTES_OPEN:
         at += 1
     m = _KEY_END.search(text, at, end)
-    stop = min(end, m.start() if m else end, at + 24)
+    stop = m.start() if m else end
     cjk = _CJK.search(text, at, stop)
     if cjk:
         return text[at : cjk.start() + 1]
@@ -192,9 +220,9 @@ def abbreviation_uses(text: str) -> Iterator[tuple[str, str]]:
         if m.group(1) is None and not _following(m.group(2)):
             continue
         p = k = m.start()
-        while k and p - k <= _SHORT and text[k - 1].isalpha():
+        while k and p - k <= SHORT and text[k - 1].isalpha():
             k -= 1
-        if 0 < p - k <= _SHORT and (k == 0 or text[k - 1].isspace() or text[k - 1] in _EDGES):
+        if 0 < p - k <= SHORT and (k == 0 or text[k - 1].isspace() or text[k - 1] in _EDGES):
             yield text[k:p], (m.group(2) or "").rstrip("." + _EDGES)
 
 
@@ -303,6 +331,8 @@ class _Paragraph:
         self.pairs = _enclosed(text, at, end)
         self.opened = {a for a, _ in self.pairs}
         self.greek = self.devanagari = None
+        self._links: tuple[list[int], list[int]] | None = None
+        self._word, self._dotted = (at, at), (-1, -1)
 
     def next_place(self, p: int) -> int:
         text, end = self.text, self.end
@@ -325,7 +355,7 @@ class _Paragraph:
         if c.isupper():
             return True
         if c.islower():
-            return self.doc.starts(key_at(text, p, self.end))
+            return spaced and self.doc.starts(key_at(text, p, self.end))
         if c.isdigit():
             return spaced
         if c.isalpha() or _DEVANAGARI.match(c):
@@ -333,8 +363,46 @@ class _Paragraph:
         return spaced
 
     def in_link(self, start: int, p: int) -> bool:
-        place = self.text.rfind("://", max(start, p - _LINK), p)
-        return place >= 0 and not any(x.isspace() for x in self.text[place:p])
+        if self._links is None:
+            runs = [m.span() for m in re.finditer(r"://\S*", self.text[self.at : self.end])]
+            self._links = [a + self.at for a, _ in runs], [b + self.at for _, b in runs]
+        k = bisect_left(self._links[0], p) - 1
+        return k >= 0 and self._links[0][k] >= start and self._links[1][k] >= p
+
+    def word_before(self, start: int, p: int) -> tuple[int, str]:
+        """``_word_class`` of the word that ends at ``p``, in steps that don't grow with the word."""
+        text, low = self.text, max(start, p - _NEAR)
+        space = text.rfind(" ", low, p)
+        if space >= 0 or low == start:
+            return _word_class(text[space + 1 if space >= 0 else low : p])
+        since, known = self._word
+        stop, k = known if start <= known <= p else start, p
+        while k > stop and not (_WORD_EDGE.match(text, k - 1) or _CJK.match(text, k - 1)):
+            k -= 1
+        first = max(start, since) if k == stop == known else k
+        self._word = first, p
+        while first < p and text[first] in "'’-–¿¡":
+            first += 1
+        if p - first <= LONGEST:
+            return _word_class(text[first:p])
+        return self.long_word(first, p)
+
+    def long_word(self, first: int, p: int) -> tuple[int, str]:
+        """The class of a word longer than any that is listed or an abbreviation."""
+        text, tail = self.text, self.text[p - LONGEST : p]
+        if _NO_PERIODS.search(tail):
+            return _FOREIGN, tail
+        if text.find(".", first, p) < 0:
+            last = tail.rsplit("-", 1)[-1] if "-" in tail else ""
+            if last.lower() in AFTER:
+                return _MAY_END, last
+            if last.lower() in BEFORE:
+                return _STANDS_BEFORE, last
+            return _NUMBER if text[first].isdigit() and text[first:p].isdigit() else _REGULAR, tail
+        if self._dotted[0] != first:
+            m = _DOTTED_RUN.match(text, first, self.end)
+            self._dotted = first, m.end() if m else first
+        return _WITH_PERIODS if p < self._dotted[1] else _REGULAR, tail
 
     def after_inner(self, mark: int, p: int) -> bool:
         """Whether a quotation that ends with a terminator, closed before ``p``, ends the sentence."""
@@ -342,13 +410,10 @@ class _Paragraph:
         if n >= self.end:
             return True
         spaced = n > p
-        known = self.doc.starts(key_at(text, n, self.end))
         wide = bool(_CJK.match(text[mark])) or (mark > 0 and text[mark - 1] in "。！？｡．")
-        if wide:
-            return known
-        opens = self.opens(n, spaced)
+        opens = None if wide else self.opens(n, spaced)
         if opens is None:
-            return spaced and known
+            return (wide or spaced) and self.doc.starts(key_at(text, n, self.end))
         return opens
 
     def inner(self, a: int, b: int, start: int) -> int | None:
@@ -367,7 +432,7 @@ class _Paragraph:
         if not abbreviation:
             return spaced if opens is None else opens
         c = self.text[n]
-        return c not in "([（" and not c.isdigit() and opens is True and self.doc.starts(key_at(self.text, n, self.end))
+        return spaced and c not in "([（" and not c.isdigit() and opens is True and self.doc.begins(key_at(self.text, n, self.end))
 
     def period(self, start: int, p: int, q: int, n: int) -> bool:
         """Whether the period at ``p`` ends the sentence that began at ``start``; the next text stands at ``n``."""
@@ -379,8 +444,7 @@ class _Paragraph:
             return False
         if not spaced and self.in_link(start, p):
             return False
-        low = max(start, p - 40)
-        kind, bare = _word_class(text[text.rfind(" ", low, p) + 1 or low : p])
+        kind, bare = self.word_before(start, p)
         if kind == _FOREIGN:
             return False
         opens = self.opens(n, spaced)
@@ -404,11 +468,11 @@ class _Paragraph:
             known = doc.listed(bare if bare.lower() in BEFORE else bare.rsplit("-", 1)[-1]) if "." not in bare else None
             return known is not None and self.after_listed(known, n, spaced, opens)
         if kind == _WITH_PERIODS:
-            return spaced and opens is True and doc.starts(key_at(text, n, self.end))
+            return spaced and opens is True and doc.begins(key_at(text, n, self.end))
         if kind == _NUMBER and spaced and c.isalpha() and not _INITIAL.match(text, n, self.end):
             return opens is not False and doc.starts(key_at(text, n, self.end))
         if doc.abbreviation(bare):
-            return c not in "([（" and not c.isdigit() and opens is True and doc.starts(key_at(text, n, self.end))
+            return spaced and c not in "([（" and not c.isdigit() and opens is True and doc.begins(key_at(text, n, self.end))
         if not spaced and len(bare) < 2 and not (p > start and text[p - 1] in _CLOSERS):
             return False
         return spaced if opens is None else opens
@@ -520,14 +584,14 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             for t in b.column(0).to_pylist():
                 tokens = t.split()
                 seen.update(tokens)
-                counts["s"].update(key_at(t, after_list_mark(t, a, z), z) for a, z in paragraphs(t))
+                counts["s"].update(entry(key_at(t, after_list_mark(t, a, z), z)) for a, z in paragraphs(t))
                 counts["u"].update(w for w, _ in abbreviation_uses(t))
                 counts["b"].update(plain_uses(tokens))
             for token, n in seen.items():
                 word = token.strip(_EDGES)
-                if word.isalpha() and len(word) <= _PLAIN:
-                    counts["w"][word] += n
-                elif word[-1:] == "." and word[:-1].isalpha() and len(word) <= _SHORT + 1:
+                if word.isalpha():
+                    counts["w"][entry(word)] += n
+                elif word[-1:] == "." and word[:-1].isalpha() and len(word) <= SHORT + 1:
                     counts["e"][word[:-1]] += n
             rows = [(k, w, n) for k, c in counts.items() for w, n in c.items()]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
@@ -537,34 +601,97 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return parts.groupBy("kind", "word").agg(F.sum("n").alias("n"))
 
 
-def corpus_model(docs: DataFrame, text: str = "text", parts: int = MODEL_PARTS) -> Model:
-    """The model of all documents; fewer than ``parts`` entries of each kind."""
-    by_word = corpus_counts(docs, text).groupBy("word").pivot("kind", list("uewsb")).agg(F.first("n")).na.fill(0)
-    totals = by_word.agg(*[F.sum(k).alias(k) for k in "uews"])
-    limits = F.broadcast(totals.select(*[F.greatest(F.lit(float(LEAST)), F.coalesce(F.col(k), F.lit(0)) / parts).alias(f"l{k}") for k in "uews"]))
-    kept = by_word.crossJoin(limits).select(
-        "word",
-        ((F.col("u") >= F.col("lu")) & (F.col("u") >= 0.3 * F.col("e")) & (F.col("w") <= F.col("u"))).alias("abbreviation"),
-        ((F.col("s") >= F.col("ls")) & (F.col("s") >= 0.02 * F.col("w"))).alias("starter"),
-        ((F.col("w") >= F.col("lw")) & (F.col("word") == F.lower("word"))).alias("lower"),
-        ((F.col("b") >= LEAST) & (F.col("b") > F.col("e"))).alias("plain"),
-    )
-    rows = kept.where("abbreviation or starter or lower or plain").collect()
-    return Model(*(frozenset(r["word"] for r in rows if r[k] and r["word"]) for k in ("abbreviation", "starter", "lower", "plain")))
+_KINDS = ("abbreviation", "starter", "lower", "plain")
 
 
-def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def corpus_entries(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, flags): what is known of each word from all documents; bit i of ``flags`` stands for the i-th of _KINDS."""
+    by_word = corpus_counts(docs, text).groupBy("word").pivot("kind", list("uewsb")).agg(F.first("n")).na.fill(0)
+    known = (
+        (F.col("u") >= LEAST) & (F.col("u") >= 0.3 * F.col("e")) & (F.col("w") <= F.col("u")),
+        (F.col("s") >= LEAST) & (F.col("s") >= 0.02 * F.col("w")),
+        (F.col("w") >= LEAST) & (F.col("word") == F.lower("word")),
+        (F.col("b") >= LEAST) & (F.col("b") > F.col("e")),
+    )
+    flags = sum((k.cast("int") * (1 << i) for i, k in enumerate(known)), F.lit(0))
+    return by_word.where("word <> ''").select("word", flags.alias("flags")).where("flags > 0")
+
+
+def model_of(entries: Iterable[tuple[str, int]]) -> Model:
+    rows = list(entries)
+    return Model(*(frozenset(w for w, f in rows if f >> i & 1) for i in range(len(_KINDS))))
+
+
+def corpus_model(docs: DataFrame, text: str = "text") -> Model:
+    """The model of all documents as a whole; for collections whose model is known to be small."""
+    return model_of(corpus_entries(docs, text).collect())
+
+
+def questions(text: str) -> set[str]:
+    """All words about which ``split`` may ask the model, wherever its sentences begin."""
+    doc = _Document(Model(), text)
+    asked = {entry(f) for _, f in abbreviation_uses(text)}
+    for at, end in doc.places:
+        part = _Paragraph(text, at, end, doc)
+        for _, p, q, pair in part.marks():
+            if not pair and q > p:
+                for word in (_WORD_END.search(text, max(at, p - LONGEST), p), _HYPHENED_END.search(text, max(at, p - LONGEST), p)):
+                    if word:
+                        asked.add(word.group())
+            for behind in {q, part.closers(q), q + 1} if q >= 0 else ():
+                n = part.next_place(behind)
+                if n < end and (n > behind or _CJK.match(text, n) or _CJK.match(text, n - 1) or text[n - 1] == "…"):
+                    key = key_at(text, n, end)
+                    asked.update((entry(key), entry(key.lower())))
+    return asked - {""}
+
+
+def _places(ids: list, texts: list, models: Iterable[Model]) -> pa.RecordBatch:
+    out: list = []
+    places: list[tuple[int, int]] = []
+    for i, t, m in zip(ids, texts, models, strict=False):
+        got = split(t, m)
+        out.extend([i] * len(got))
+        places.extend(got)
+    return pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array([a for a, _ in places], pa.int64()), pa.array([z for _, z in places], pa.int64())], ["id", "sent_start", "sent_end"])
+
+
+def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model_rows: int = MODEL_ROWS) -> DataFrame:
     """(id, sent_start, sent_end) of every sentence."""
-    model = docs.sparkSession.sparkContext.broadcast(corpus_model(docs, text))
+    entries = cut(corpus_entries(docs, text))
+    rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text].alias("text")).where("text is not null")
+    schema = "id bigint, sent_start bigint, sent_end bigint"
+    if not small_enough(entries, model_rows):
+        return _with_answers(rows, entries).mapInArrow(_split_with_answers, schema)
+    model = docs.sparkSession.sparkContext.broadcast(model_of(entries.collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids: list = []
-            places: list[tuple[int, int]] = []
-            for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                got = split(t, model.value)
-                ids.extend([i] * len(got))
-                places.extend(got)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([a for a, _ in places], pa.int64()), pa.array([z for _, z in places], pa.int64())], ["id", "sent_start", "sent_end"])
-
-    return docs.select(docs[id_col].cast("bigint").alias("id"), docs[text].alias("text")).mapInArrow(run, "id bigint, sent_start bigint, sent_end bigint")
+            yield _places(b.column("id").to_pylist(), b.column("text").to_pylist(), repeat(model.value))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _split_with_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        models = (model_of((a["word"], a["flags"]) for a in answers) for answers in b.column("answers").to_pylist())
+        yield _places(b.column("id").to_pylist(), b.column("text").to_pylist(), models)
+
+
+def _with_answers(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, text, answers): each row with what the model knows of the words its text may ask for. A text asks once for all
+    its copies; words that many texts ask for, and texts with many copies, are spread over several join groups."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [sorted({"", *questions(t)}) for t in b.column("text").to_pylist()]
+            sizes = np.array([len(w) for w in words])
+            keys = [pa.array(np.repeat(b.column(c).to_numpy(), sizes)) for c in ("h1", "h2")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([w for ws in words for w in ws], pa.string())], ["h1", "h2", "word"])
+
+    keyed = rows.select("*", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
+    asked = cut(keyed.select("h1", "h2", "text").mapInArrow(ask, "h1 bigint, h2 bigint, word string").distinct())
+    every = entries.unionByName(entries.sparkSession.createDataFrame([("", 0)], entries.schema))
+    found = joined_rows(every, asked, ["word"], "flags", "h1")
+    answers = found.groupBy("h1", "h2").agg(F.collect_list(F.struct("word", "flags")).alias("answers"))
+    return joined_rows(answers, keyed, ["h1", "h2"], "h1", "id").select("id", "text", "answers")
