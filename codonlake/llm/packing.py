@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonlake.llm.tokens import TOKENIZER, with_token_counts
@@ -96,6 +96,7 @@ def pack_sizes(sizes: DataFrame, capacity: int) -> DataFrame:
     plan = best_fit(counts, capacity)
     slots = spark.createDataFrame(plan, "length int, first_rank bigint, pieces bigint, first_container bigint, offset int")
     ranked = rank_within(items, ["n_tokens"], [F.col("id"), F.col("piece_no")], sum(counts.values()), "rank")
+    # The plan has a few rows for each length, so its size is bounded by the capacity, not by the number of texts.
     placed = ranked.join(F.broadcast(slots), (F.col("n_tokens") == F.col("length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("pieces")))
     out = placed.select("id", "piece_no", "token_start", "n_tokens", (F.col("first_container") + F.col("rank") - F.col("first_rank")).alias("container_id"), F.col("offset").alias("container_offset"))
     return out.unionByName(empty)
@@ -106,3 +107,24 @@ def fill(packed: DataFrame, capacity: int) -> DataFrame:
     each = packed.where("container_id >= 0").groupBy("container_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
     sums = each.agg(F.count(F.lit(1)).alias("n_containers"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("n_pieces"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"))
     return sums.select(F.lit(capacity).alias("capacity"), "*", F.expr(f"try_divide(n_tokens, n_containers * {capacity})").alias("share_filled"))
+
+
+def kept_promises(packed: DataFrame, capacity: int) -> DataFrame:
+    """(capacity, n_texts, n_overfull, n_overlapping, n_needless_splits, n_gaps): texts that were placed, and what must be 0:
+    containers beyond their capacity, pieces that begin within another, texts cut without need, pieces that don't follow
+    one another."""
+    inside = Window.partitionBy("container_id").orderBy("container_offset")
+    places = packed.where("container_id >= 0").withColumn("before", F.lag(F.col("container_offset") + F.col("n_tokens")).over(inside))
+    count = lambda c: F.count_if(c).alias("n")
+    loads = places.groupBy("container_id").agg(F.max(F.col("container_offset") + F.col("n_tokens")).alias("end"), F.sum("n_tokens").alias("load"))
+    texts = packed.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("size"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.count_distinct("token_start").alias("starts"))
+    gaps = (F.col("end") != F.col("size")) | (F.col("starts") != F.col("k"))
+    parts = [
+        ("n_texts", texts.agg(F.count(F.lit(1)).alias("n"))), ("n_overfull", loads.agg(count((F.col("end") > capacity) | (F.col("load") > capacity)))),
+        ("n_overlapping", places.agg(count(F.col("before") > F.col("container_offset")))),
+        ("n_needless_splits", texts.agg(count(F.col("k") > F.greatest(F.lit(1), F.ceil(F.col("size") / capacity))))), ("n_gaps", texts.agg(count(gaps))),
+    ]
+    out = packed.sparkSession.range(1).select(F.lit(capacity).alias("capacity"))
+    for name, part in parts:
+        out = out.crossJoin(part.withColumnRenamed("n", name))
+    return out

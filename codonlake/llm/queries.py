@@ -210,6 +210,17 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill(packing.pack_sizes(sizes, short), short).unionByName(packing.fill(packing.pack_sizes(sizes, long), long))
 
 
+@query(
+    "p6_promises",
+    """SELECT capacity, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) AS n_texts, 0::bigint AS n_overfull, 0::bigint AS n_overlapping,
+       0::bigint AS n_needless_splits, 0::bigint AS n_gaps FROM size_limits WHERE profile IN ('text_container', 'text_container_long')""",
+)
+def p6_promises(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = packing.token_sizes(read_table(spark, sf, "documents"))
+    short, long = (_limits(spark, sf, p)[0] for p in ("text_container", "text_container_long"))
+    return packing.kept_promises(packing.pack_sizes(sizes, short), short).unionByName(packing.kept_promises(packing.pack_sizes(sizes, long), long))
+
+
 @query("p7_mixture")
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixture(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_targets")).withColumnRenamed("id", "doc_id")
