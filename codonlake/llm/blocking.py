@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonlake.llm import sketch
-from codonlake.session import broadcast_if_small, cut
+from codonlake.session import BROADCAST_ROWS, cut
 
 #: Texts of one side of a join group at most, about.
 CELL = 512
@@ -156,10 +156,11 @@ def joined_rows(left: DataFrame, right: DataFrame, keys: list[str], left_id: str
     one = lambda df, a, b: df.select(*keys, F.lit(a).alias("__l"), F.lit(b).alias("__r"))
     counted = one(right, 0, 1).unionByName(one(left, 1, 0)) if count_left else one(right, 0, 1)
     sizes = counted.groupBy(*keys).agg(F.sum("__l").alias("l"), F.sum("__r").alias("r")).where((F.col("l") > rows) | (F.col("r") > rows))
-    hot = cut(sizes.select(*keys, F.ceil(F.col("l") / rows).alias("__ml"), F.ceil(F.col("r") / rows).alias("__mr")))
-    if not hot.take(1):
+    sizes = sizes.select(*keys, F.ceil(F.col("l") / rows).alias("__ml"), F.ceil(F.col("r") / rows).alias("__mr"))
+    few = sizes.limit(BROADCAST_ROWS + 1).collect()
+    if not few:
         return left.join(right, keys)
-    hot = broadcast_if_small(hot)
+    hot = F.broadcast(sizes.sparkSession.createDataFrame(few, sizes.schema)) if len(few) <= BROADCAST_ROWS else cut(sizes)
 
     def spread_rows(df: DataFrame, id_: str, own: str, part: str, other: str, every: str) -> DataFrame:
         m = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(1).cast("bigint")), F.lit(1).cast("bigint"))
