@@ -28,7 +28,8 @@ def cleaned(text: Column, case: bool = True, punctuation: bool = True, digits: b
 
 
 def tokens_13a(text: Column) -> Column:
-    """Words and marks in the manner of the 13a tokenisation of machine-translation scores."""
+    """Words and marks by the public 13a tokenisation of machine-translation scores."""
+    # The entities and patterns of the public definition of 13a.
     t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "<skipped>", ""), "-\n", "")
     for entity, mark in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("\n", " ")):
         t = F.replace(t, F.lit(entity), F.lit(mark))
@@ -48,9 +49,11 @@ def ngrams(items: Column, n: int, sep: str = " ") -> Column:
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of words: each distinct word stands for one character."""
+    """Edit distance of two arrays of words: each distinct word stands for one character beyond the first plane, of which
+    there are 1,048,576; a pair with more distinct words than that is an error."""
     known = F.array_distinct(F.concat(a, b))
-    as_text = lambda x: F.array_join(F.transform(x, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x3400), 4, "0")), "UTF-16BE")), "")
+    code = lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")
+    as_text = lambda x: F.array_join(F.transform(x, lambda w: F.decode(F.unhex(code(w)), "UTF-32")), "")
     return F.levenshtein(as_text(a), as_text(b))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,12 +18,26 @@ def radar(long: DataFrame, by: str) -> DataFrame:
     return closed.select(by, "metric", "place", angle.alias("angle"), (F.col("value") * F.cos(angle)).alias("x"), (F.col("value") * F.sin(angle)).alias("y"))
 
 
-def mutation_map(effects: DataFrame, id_col: str) -> DataFrame:
-    """(id, key, base, score): substitution scores, with 0 at the reference base; keys are padded for their order."""
-    width = 6
-    own = effects.select(id_col, "pos", "ref", F.col("alt").alias("base"), "score")
-    ref = effects.select(id_col, "pos", "ref").distinct().select(id_col, "pos", "ref", F.col("ref").alias("base"), F.lit(0.0).alias("score"))
-    return own.unionByName(ref).select(id_col, F.concat(F.lpad(F.col("pos").cast("string"), width, "0"), "ref").alias("key"), "base", "score")
+def axis_key(pos: Column, base: Column, width: int) -> Column:
+    """A position padded with zeros, so that keys sort as numbers, and its base. A longer position is never cut."""
+    digits = pos.cast("string")
+    return F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(width) - F.length(digits))), digits, base)
+
+
+def key_width(df: DataFrame, seq: str, least: int = 6) -> int:
+    """Digits of the last position of the longest sequence, ``least`` at least."""
+    longest = df.agg(F.max(F.length(seq))).first()[0] or 1
+    return max(least, len(str(longest - 1)))
+
+
+def mutation_map(effects: DataFrame, id_col: str, width: int) -> DataFrame:
+    """(id, key, base, score): substitution scores, with 0 at the reference base; keys have positions of ``width`` digits."""
+    key = axis_key(F.col("pos"), F.col("ref"), width).alias("key")
+    own = effects.select(id_col, key, F.col("alt").alias("base"), "score", "ref")
+    cells = F.array(F.struct(F.col("base"), F.col("score")), F.struct(F.col("ref").alias("base"), F.lit(0.0).alias("score")))
+    # The reference base's own cell comes with the first other base of its position, so no position is looked for twice.
+    first = F.col("base") == F.when(F.col("ref") == "A", "C").otherwise("A")
+    return own.select(id_col, "key", F.explode(F.when(first, cells).otherwise(F.slice(cells, 1, 1))).alias("c")).select(id_col, "key", "c.base", "c.score")
 
 
 def padded_matrix(df: DataFrame, id_col: str, values: str, size: int) -> DataFrame:
@@ -33,7 +47,8 @@ def padded_matrix(df: DataFrame, id_col: str, values: str, size: int) -> DataFra
 
 
 def density(df: DataFrame, x: str, y: str, cells: int = 32) -> DataFrame:
-    """(cx, cy, n, density): rows by cell of a ``cells`` by ``cells`` grid, smoothed by a Gaussian kernel over the grid.
+    """(cx, cy, n, density): rows by cell of a ``cells`` by ``cells`` grid, smoothed by a Gaussian kernel over the grid: a
+    binned estimate of density, whose kernel is one cell wide and covers all cells.
 
     The kernel runs over cells, a fixed number, not over pairs of rows.
     """
@@ -41,7 +56,7 @@ def density(df: DataFrame, x: str, y: str, cells: int = 32) -> DataFrame:
     cell = lambda c, a, b: F.least(F.lit(cells - 1), F.floor(F.try_divide((F.col(c) - F.col(a)) * float(cells), F.col(b) - F.col(a)))).cast("int")
     binned = df.crossJoin(F.broadcast(ends)).groupBy(cell(x, "x0", "x1").alias("cx"), cell(y, "y0", "y1").alias("cy")).agg(F.count(F.lit(1)).alias("n"))
     other = binned.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("n").alias("on"))
-    near = binned.join(F.broadcast(other), (F.abs(F.col("cx") - F.col("ox")) <= 3) & (F.abs(F.col("cy") - F.col("oy")) <= 3))
+    near = binned.crossJoin(F.broadcast(other))  # at most cells to the fourth power of pairs, whatever the rows
     dx, dy = F.col("cx") - F.col("ox"), F.col("cy") - F.col("oy")
     return near.groupBy("cx", "cy", "n").agg(F.sum(F.col("on") * F.exp(-(dx * dx + dy * dy) / 2.0)).alias("density"))
 

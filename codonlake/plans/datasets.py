@@ -150,7 +150,7 @@ def overlap_join(spark, sf):
     return iv.overlaps(l_, r_).drop("r_chrom").withColumnRenamed("r_other", "other")
 
 
-@query("overlap_left_join", _LR + ", h AS (SELECT chrom, start_pos, end_pos FROM r WHERE start_pos % 3 = 0) SELECT l.chrom, l.start_pos, l.end_pos, gene, coalesce(h.start_pos, -1) AS r_start_pos, coalesce(h.end_pos, -1) AS r_end_pos FROM (SELECT DISTINCT * FROM l) l LEFT JOIN h ON l.chrom = h.chrom AND l.start_pos < h.end_pos AND h.start_pos < l.end_pos")
+@query("overlap_left_join", _LR + ", h AS (SELECT chrom, start_pos, end_pos FROM r) SELECT l.chrom, l.start_pos, l.end_pos, gene, coalesce(h.start_pos, -1) AS r_start_pos, coalesce(h.end_pos, -1) AS r_end_pos FROM (SELECT DISTINCT * FROM l) l LEFT JOIN h ON l.chrom = h.chrom AND l.start_pos < h.end_pos AND h.start_pos < l.end_pos")
 def overlap_left_join(spark, sf):
     l_, r_ = _sides(spark, sf)
     return iv.overlaps(l_, r_.select("chrom", "start_pos", "end_pos"), "left").drop("r_chrom")

@@ -271,19 +271,12 @@ def m_pass_at_k(spark, sf):
 _EMB = "[x::double for x in embedding]"
 
 
-@query("attention_norms", f"WITH v AS (SELECT vec_id, {_EMB} AS v FROM embeddings), m AS (SELECT vec_id, v, list_max(v) AS hi, list_min(v) AS lo, list_avg(v) AS mean, list_sum([abs(x) for x in v]) AS a1, sqrt(list_sum([x * x for x in v])) AS a2, list_sum([exp(x - list_max(v)) for x in v]) AS z FROM v) SELECT vec_id, round(exp(v[1] - hi) / z, 9) AS softmax, round((v[1] - lo) / (hi - lo + 1e-8), 6) AS minmax, round(v[1] / a1, 9) AS l1, round(v[1] / a2, 9) AS l2, round((v[1] - mean) / list_stddev_pop(v), 6) AS z, round(-list_sum([exp(x - hi) / z * ln(exp(x - hi) / z) for x in v]), 6) AS entropy FROM m")
-def attention_norms(spark, sf):
-    v = F.col("v")
-    e = read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return e.select("vec_id", F.round(vec.softmax(v)[0], 9).alias("softmax"), F.round(vec.min_max(v)[0], 6).alias("minmax"), F.round(vec.l1(v)[0], 9).alias("l1"), F.round(vec.l2(v)[0], 9).alias("l2"), F.round(vec.z_scores(v)[0], 6).alias("z"), F.round(vec.entropy(vec.softmax(v)), 6).alias("entropy"))
-
-
 def _rounded(digits: int):
     return lambda x: F.round(x, digits)
 
 
-@query("attention_norms_whole", f"WITH v AS (SELECT vec_id, {_EMB} AS v FROM embeddings), m AS (SELECT vec_id, v, list_max(v) AS hi, list_min(v) AS lo, list_avg(v) AS mean, list_stddev_pop(v) AS sd, list_sum([abs(x) for x in v]) AS a1, sqrt(list_sum([x * x for x in v])) AS a2, list_sum([exp(x - list_max(v)) for x in v]) AS z FROM v) SELECT vec_id, [round(exp(x - hi) / z, 9) for x in v] AS softmax, [round((x - lo) / (hi - lo + 1e-8), 6) for x in v] AS minmax, [round(x / a1, 9) for x in v] AS l1, [round(x / a2, 9) for x in v] AS l2, [round((x - mean) / sd, 6) for x in v] AS z, round(-list_sum([exp(x - hi) / z * ln(exp(x - hi) / z) for x in v]), 6) AS entropy FROM m")
-def attention_norms_whole(spark, sf):
+@query("attention_norms", f"WITH v AS (SELECT vec_id, {_EMB} AS v FROM embeddings), m AS (SELECT vec_id, v, list_max(v) AS hi, list_min(v) AS lo, list_avg(v) AS mean, list_stddev_pop(v) AS sd, list_sum([abs(x) for x in v]) AS a1, sqrt(list_sum([x * x for x in v])) AS a2, list_sum([exp(x - list_max(v)) for x in v]) AS z FROM v) SELECT vec_id, [round(exp(x - hi) / z, 9) for x in v] AS softmax, [round((x - lo) / (hi - lo + 1e-8), 6) for x in v] AS minmax, [round(x / a1, 9) for x in v] AS l1, [round(x / a2, 9) for x in v] AS l2, [round((x - mean) / sd, 6) for x in v] AS z, round(-list_sum([exp(x - hi) / z * ln(exp(x - hi) / z) for x in v]), 6) AS entropy FROM m")
+def attention_norms(spark, sf):
     v = F.col("v")
     e = read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     whole = [F.transform(f(v), _rounded(d)).alias(n) for n, f, d in (("softmax", vec.softmax, 9), ("minmax", vec.min_max, 6), ("l1", vec.l1, 9), ("l2", vec.l2, 9), ("z", vec.z_scores, 6))]

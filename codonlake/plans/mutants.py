@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonlake.operators import mutagenesis as mu
+from codonlake.operators import plotdata as pl
 from codonlake.operators import scoring
 from codonlake.plans.registry import query
 from codonlake.session import read_table
@@ -208,4 +209,4 @@ def ablation(spark, sf):
 @query("axis_keys", "SELECT split_part(name, '_', 1) AS kind, lpad(pos::varchar, 6, '0') || 'A' AS key, n FROM (SELECT concat('mut_', user_id) AS name, user_id AS pos, count(*) AS n FROM events GROUP BY user_id)")
 def axis_keys(spark, sf):
     n = read_table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.select(F.lit("mut").alias("kind"), F.concat(F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lit("A")).alias("key"), "n")
+    return n.select(F.lit("mut").alias("kind"), pl.axis_key(F.col("user_id"), F.lit("A"), 6).alias("key"), "n")

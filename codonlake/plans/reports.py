@@ -71,14 +71,8 @@ def plot_bars(spark, sf):
     return _bench(spark, sf).groupBy("model", "metric").agg(F.round(F.avg("value"), 9).alias("value"))
 
 
-@query("plot_radar", f"WITH {SCORED}, {_WIDE}, d AS (SELECT model, metric, value, row_number() OVER (PARTITION BY model ORDER BY metric) - 1 AS place, count(*) OVER (PARTITION BY model) AS n FROM bench WHERE split = 'dev'), z AS (SELECT * FROM d UNION ALL SELECT model, metric, value, n, n FROM d WHERE place = 0) SELECT model, metric, place, round(place * 2 * pi() / n, 6) AS angle, round(value * cos(place * 2 * pi() / n), 6) AS x, round(value * sin(place * 2 * pi() / n), 6) AS y FROM z")
+@query("plot_radar", f"WITH {SCORED}, {_WIDE}, d AS (SELECT split, model, metric, value, row_number() OVER (PARTITION BY split, model ORDER BY metric) - 1 AS place, count(*) OVER (PARTITION BY split, model) AS n FROM bench), z AS (SELECT * FROM d UNION ALL SELECT split, model, metric, value, n, n FROM d WHERE place = 0) SELECT split, model, metric, place, round(place * 2 * pi() / n, 6) AS angle, round(value * cos(place * 2 * pi() / n), 6) AS x, round(value * sin(place * 2 * pi() / n), 6) AS y FROM z")
 def plot_radar(spark, sf):
-    out = pl.radar(_bench(spark, sf).where("split = 'dev'"), "model")
-    return out.select("model", "metric", "place", *[F.round(c, 6).alias(c) for c in ("angle", "x", "y")])
-
-
-@query("plot_radar_whole", f"WITH {SCORED}, {_WIDE}, d AS (SELECT split, model, metric, value, row_number() OVER (PARTITION BY split, model ORDER BY metric) - 1 AS place, count(*) OVER (PARTITION BY split, model) AS n FROM bench), z AS (SELECT * FROM d UNION ALL SELECT split, model, metric, value, n, n FROM d WHERE place = 0) SELECT split, model, metric, place, round(place * 2 * pi() / n, 6) AS angle, round(value * cos(place * 2 * pi() / n), 6) AS x, round(value * sin(place * 2 * pi() / n), 6) AS y FROM z")
-def plot_radar_whole(spark, sf):
     out = pl.radar(_bench(spark, sf).select(F.struct("split", "model").alias("key"), "metric", "value"), "key")
     return out.select("key.split", "key.model", "metric", "place", *[F.round(c, 6).alias(c) for c in ("angle", "x", "y")])
 
@@ -94,7 +88,8 @@ def plot_curves(spark, sf):
 
 @query("plot_mut_heatmap", f"WITH {EFFECTS}, c AS (SELECT row_id, pos, ref, alt AS base, score FROM scored UNION ALL SELECT DISTINCT row_id, pos, ref, ref, 0 FROM scored) SELECT lpad(pos::varchar, 6, '0') || ref AS key, base, count(*) AS n, round(sum(score), 5) AS total FROM c GROUP BY ALL")
 def plot_mut_heatmap(spark, sf):
-    m = pl.mutation_map(mu.effects(read_table(spark, sf, "dev"), "row_id", "sequence"), "row_id")
+    dev = read_table(spark, sf, "dev")
+    m = pl.mutation_map(mu.effects(dev, "row_id", "sequence"), "row_id", pl.key_width(dev, "sequence"))
     return m.groupBy("key", "base").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 5).alias("total"))
 
 
@@ -112,7 +107,7 @@ def plot_attr_matrix(spark, sf):
     return m.groupBy("id.row_id", "id.model", "place").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.nanvl("value", F.lit(0.0))), 6).alias("value"))
 
 
-@query("plot_density", "WITH e AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem), b AS (SELECT least(31, floor((l_quantity - x0) * 32 / (x1 - x0)))::int AS cx, least(31, floor((l_extendedprice - y0) * 32 / (y1 - y0)))::int AS cy, count(*) AS n FROM lineitem, e GROUP BY ALL) SELECT a.cx, a.cy, a.n, round(sum(o.n * exp(-((a.cx - o.cx) ** 2 + (a.cy - o.cy) ** 2) / 2.0::double)), 4) AS density FROM b a JOIN b o ON abs(a.cx - o.cx) <= 3 AND abs(a.cy - o.cy) <= 3 GROUP BY a.cx, a.cy, a.n")
+@query("plot_density", "WITH e AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem), b AS (SELECT least(31, floor((l_quantity - x0) * 32 / (x1 - x0)))::int AS cx, least(31, floor((l_extendedprice - y0) * 32 / (y1 - y0)))::int AS cy, count(*) AS n FROM lineitem, e GROUP BY ALL) SELECT a.cx, a.cy, a.n, round(sum(o.n * exp(-((a.cx - o.cx) ** 2 + (a.cy - o.cy) ** 2) / 2.0::double)), 4) AS density FROM b a CROSS JOIN b o GROUP BY a.cx, a.cy, a.n")
 def plot_density(spark, sf):
     d = pl.density(read_table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice")
     return d.select("cx", "cy", "n", F.round("density", 4).alias("density"))

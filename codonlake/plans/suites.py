@@ -68,15 +68,8 @@ def multi_sequence_separator(spark, sf):
     return read_table(spark, sf, "dev").where("sequence is not null and label is not null").select("row_id", en.with_separator(both, "|", "[SEP]").alias("text"))
 
 
-@query("kmer_features", "WITH u AS (SELECT row_id, upper(sequence) AS s FROM dev WHERE sequence IS NOT NULL), k AS (SELECT row_id, greatest(length(s) - 1, 1) AS n, [substr(s, i, 2) for i in range(1, length(s))] AS ks FROM u) SELECT row_id, [round(len(list_filter(ks, lambda y: y = concat(a, 'A')))::double / n, 9) for a in ['A', 'C', 'G', 'T']] AS to_a FROM k")
+@query("kmer_features", "WITH u AS (SELECT row_id, upper(sequence) AS s FROM dev WHERE sequence IS NOT NULL), k AS (SELECT row_id, greatest(length(s) - 1, 1) AS n, [substr(s, i, 2) for i in range(1, length(s))] AS ks FROM u) SELECT row_id, [round(len(list_filter(ks, lambda y: y = a))::double / n, 9) for a in ['AA', 'AC', 'AG', 'AT', 'CA', 'CC', 'CG', 'CT', 'GA', 'GC', 'GG', 'GT', 'TA', 'TC', 'TG', 'TT']] AS shares FROM k")
 def kmer_features(spark, sf):
-    f = tr.kmer_features(F.col("sequence"), 2)
-    rows = read_table(spark, sf, "dev").where("sequence is not null").select("row_id", f.alias("f"))
-    return rows.select("row_id", F.array(*[F.round(F.col("f")[i], 9) for i in (0, 4, 8, 12)]).alias("to_a"))
-
-
-@query("kmer_features_whole", "WITH u AS (SELECT row_id, upper(sequence) AS s FROM dev WHERE sequence IS NOT NULL), k AS (SELECT row_id, greatest(length(s) - 1, 1) AS n, [substr(s, i, 2) for i in range(1, length(s))] AS ks FROM u) SELECT row_id, [round(len(list_filter(ks, lambda y: y = a))::double / n, 9) for a in ['AA', 'AC', 'AG', 'AT', 'CA', 'CC', 'CG', 'CT', 'GA', 'GC', 'GG', 'GT', 'TA', 'TC', 'TG', 'TT']] AS shares FROM k")
-def kmer_features_whole(spark, sf):
     rows = read_table(spark, sf, "dev").where("sequence is not null").select("row_id", tr.kmer_features(F.col("sequence"), 2).alias("f"))
     return rows.select("row_id", F.transform("f", lambda x: F.round(x, 9)).alias("shares"))
 

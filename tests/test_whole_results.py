@@ -32,8 +32,8 @@ def test_overlap_left_join_takes_all_genes(spark, tmp_path):
 def test_whole_values_are_returned(spark):
     sf = "/root/testdata/sf0.001"
     q = registry.queries()
-    assert {"attention_norms_whole", "kmer_features_whole", "plot_radar_whole"} <= set(registry.oracle_sql())
-    row = q["attention_norms_whole"](spark, sf).first()
+    assert {"attention_norms", "kmer_features", "plot_radar"} <= set(registry.oracle_sql())
+    row = q["attention_norms"](spark, sf).first()
     assert all(len(row[c]) == 64 for c in ("softmax", "minmax", "l1", "l2", "z"))
-    assert len(q["kmer_features_whole"](spark, sf).first()["shares"]) == 16
-    assert {r["split"] for r in q["plot_radar_whole"](spark, sf).select("split").distinct().collect()} == {"dev", "test"}
+    assert len(q["kmer_features"](spark, sf).first()["shares"]) == 16
+    assert {r["split"] for r in q["plot_radar"](spark, sf).select("split").distinct().collect()} == {"dev", "test"}
