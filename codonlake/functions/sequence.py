@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codonlake.functions.vectors import let
-
 
 def gc_content(seq: Column) -> Column:
     """Share of G and C among all letters but N, U read as T; 0.0 if nothing is left. Other characters count as length."""
@@ -30,10 +28,10 @@ def reverse_complement(seq: Column, reverse: bool = True, complemented: bool = T
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """Overlapping upper-case k-mers in order; empty if the sequence is shorter than k."""
-    n = F.length(seq)
-    made = let(F.upper(seq), lambda u: F.transform(F.sequence(F.lit(1), F.length(u) - (k - 1)), lambda i: F.substring(u, i, F.lit(k))))
-    return F.when(seq.isNull(), None).when(n >= k, made).otherwise(F.array().cast("array<string>"))
+    """Overlapping upper-case k-mers in order; empty if the sequence is shorter than k. One pass over the sequence, which
+    stops at every character but the second half of one beyond the first plane."""
+    every = F.lit(f"(?s)(?![\\uDC00-\\uDFFF])(?=(.{{{k}}}))")
+    return F.regexp_extract_all(F.upper(seq), every, F.lit(1))
 
 
 def kmer_text(seq: Column, k: int) -> Column:

@@ -26,23 +26,21 @@ def kmer_weight(kmer: str) -> float:
     return ((code * 37 + 11) % 101 - 50) / 100
 
 
-#: All 3-mers in order of their number, each behind a mark, so that a 3-mer's place gives its number.
-_ALL = "".join("\x01" + "".join(m) for m in product("ACGT", repeat=K))
+def base_codes(letters: Column) -> Column:
+    """The place of each letter in ACGT, -1 for any other, from an array of letters."""
+    return F.transform(letters, lambda c: (F.call_function("instr", F.lit("ACGT"), c) - 1).cast("int"))
 
 
-def weight(kmer: Column) -> Column:
-    """``kmer_weight`` as an expression."""
-    place = F.call_function("instr", F.lit(_ALL), kmer)
-    code = F.floor((place - 2) / (K + 1))
-    known = (F.length(kmer) == K) & (place > 1) & ((place - 2) % (K + 1) == 0)
-    return F.when(known, (((code * 37 + 11) % 101) - 50) / 100).otherwise(F.lit(0.0))
+def kmer_weights(codes: Column) -> Column:
+    """The weights of all overlapping 3-mers in order, from ``base_codes``; empty for fewer than 3."""
+    n = F.size(codes)
+    each = F.transform(F.sequence(F.lit(0), n - K), lambda i: weight_of_codes(F.get(codes, i), F.get(codes, i + 1), F.get(codes, i + 2)))
+    return F.when(n >= K, each).otherwise(F.array().cast("array<double>"))
 
 
 def weight_sum(seq: Column) -> Column:
     """The sum of the weights of all overlapping 3-mers; 0.0 for shorter sequences."""
-    n = F.length(seq)
-    each = F.transform(F.sequence(F.lit(1), n - (K - 1)), lambda i: weight(F.substring(seq, i, F.lit(K))))
-    return F.when(n >= K, vec.total(each)).otherwise(F.lit(0.0))
+    return F.when(F.length(seq) >= K, vec.let(base_codes(F.split(seq, "")), lambda c: vec.total(kmer_weights(c)))).otherwise(F.lit(0.0))
 
 
 def weight_of_codes(a: Column, b: Column, c: Column) -> Column:
@@ -51,14 +49,6 @@ def weight_of_codes(a: Column, b: Column, c: Column) -> Column:
     return F.when((a >= 0) & (b >= 0) & (c >= 0), F.get(table, a * 16 + b * 4 + c)).otherwise(F.lit(0.0))
 
 
-def short_weight_sum(seq: Column, most: int) -> Column:
-    """``weight_sum`` of sequences of at most ``most`` letters, without an array."""
-    out = F.lit(0.0)
-    for i in range(1, most - K + 2):
-        out = out + weight(F.substring(seq, F.lit(i), F.lit(K)))
-    return out
-
-
 def probability(score: Column) -> Column:
     return vec.sigmoid(score / SCALE)
 

@@ -20,12 +20,12 @@ def summary(df: DataFrame) -> DataFrame:
     return df.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("mutant").cast("bigint")).alias("letters"), check("mutant").alias("mutants"), check("name").alias("names"))
 
 
-def _sites(alphabet: str) -> str:
+def _sites_sql(alphabet: str) -> str:
     return f"(SELECT row_id, s, p, substr(s, p + 1, 1) AS ref, alt FROM (SELECT row_id, sequence AS s, unnest(range(0, length(sequence))) AS p FROM dev) CROSS JOIN (SELECT unnest(string_split('{alphabet}', '')) AS alt) WHERE substr(s, p + 1, 1) <> alt)"
 
 
 def _subst(alphabet: str) -> str:
-    return f"SELECT row_id, {_SUMS} FROM (SELECT row_id, concat('mut_', p, '_', ref, '_', alt) AS name, concat(substr(s, 1, p), alt, substr(s, p + 2)) AS mutant FROM {_sites(alphabet)}) GROUP BY row_id"
+    return f"SELECT row_id, {_SUMS} FROM (SELECT row_id, concat('mut_', p, '_', ref, '_', alt) AS name, concat(substr(s, 1, p), alt, substr(s, p + 2)) AS mutant FROM {_sites_sql(alphabet)}) GROUP BY row_id"
 
 
 @query("mut_subst", _subst("ACGT"))
@@ -99,8 +99,8 @@ whole AS MATERIALIZED (
 )"""
 
 
-def _effects(spark, sf):
-    return mu.effects(read_table(spark, sf, "dev"), "row_id", "sequence")
+def _sites(spark, sf):
+    return mu.site_effects(read_table(spark, sf, "dev"), "row_id", "sequence")
 
 
 @query("score_sequences", f"SELECT row_id, round({weight_sum_sql('sequence')}, 6) AS score, round(1 / (1 + exp(-{weight_sum_sql('sequence')} / 10)), 6) AS prob FROM dev WHERE sequence IS NOT NULL")
@@ -111,13 +111,14 @@ def score_sequences(spark, sf):
 
 @query("mut_effect", f"WITH {EFFECTS} SELECT row_id, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(diff), 6) AS mean_diff, round(max(score), 6) AS most, round(min(score), 6) AS least FROM scored GROUP BY row_id")
 def mut_effect(spark, sf):
-    return _effects(spark, sf).groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), *[F.round(f(c), 6).alias(n) for f, c, n in ((F.avg, "score", "mean_score"), (F.avg, "diff", "mean_diff"), (F.max, "score", "most"), (F.min, "score", "least"))])
+    out = mu.effect_summary(_sites(spark, sf), "row_id")
+    return out.select("row_id", "n", *[F.round(c, 6).alias(c) for c in ("mean_score", "mean_diff", "most", "least")])
 
 
 @query("mut_mean_delta", f"WITH {EFFECTS} SELECT round(avg(s), 6) AS mean_score, round(avg(d), 6) AS mean_diff, count(*) AS n FROM (SELECT row_id, avg(score) AS s, avg(diff) AS d FROM scored GROUP BY row_id)")
 def mut_mean_delta(spark, sf):
-    per = _effects(spark, sf).groupBy("row_id").agg(F.avg("score").alias("s"), F.avg("diff").alias("d"))
-    return per.agg(F.round(F.avg("s"), 6).alias("mean_score"), F.round(F.avg("d"), 6).alias("mean_diff"), F.count(F.lit(1)).alias("n"))
+    per = mu.effect_summary(_sites(spark, sf), "row_id")
+    return per.agg(F.round(F.avg("mean_score"), 6).alias("mean_score"), F.round(F.avg("mean_diff"), 6).alias("mean_diff"), F.count(F.lit(1)).alias("n"))
 
 
 _MAXABS = "(SELECT row_id, pos, arg_max(score, (abs(score), -instr('ACGTN', alt))) AS score FROM scored GROUP BY row_id, pos)"
@@ -130,34 +131,34 @@ def _by_row(df: DataFrame) -> DataFrame:
 
 @query("ism_maxabs", f"WITH {EFFECTS} " + _ROW.format(_MAXABS))
 def ism_maxabs(spark, sf):
-    return _by_row(mu.position_scores(_effects(spark, sf), "row_id"))
+    return _by_row(mu.position_scores(_sites(spark, sf), "row_id"))
 
 
 @query("ism_mean", f"WITH {EFFECTS} " + _ROW.format("(SELECT row_id, pos, avg(score) AS score FROM scored GROUP BY row_id, pos)"))
 def ism_mean(spark, sf):
-    return _by_row(mu.position_scores(_effects(spark, sf), "row_id", "mean"))
+    return _by_row(mu.position_scores(_sites(spark, sf), "row_id", "mean"))
 
 
 @query("ism_gain_loss", f"WITH {EFFECTS} SELECT row_id, count(*) AS n, round(sum(gain), 5) AS gain, round(sum(loss), 5) AS loss FROM (SELECT row_id, pos, sum(CASE WHEN score >= 0 THEN score ELSE 0 END) AS gain, sum(CASE WHEN score < 0 THEN -score ELSE 0 END) AS loss FROM scored GROUP BY row_id, pos) GROUP BY row_id")
 def ism_gain_loss(spark, sf):
-    return mu.gain_loss(_effects(spark, sf), "row_id").groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("gain"), 5).alias("gain"), F.round(F.sum("loss"), 5).alias("loss"))
+    return mu.gain_loss(_sites(spark, sf), "row_id").groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("gain"), 5).alias("gain"), F.round(F.sum("loss"), 5).alias("loss"))
 
 
 @query("ism_max_base", f"WITH {EFFECTS} SELECT row_id, ref, alt, count(*) AS n, round(sum(score), 9) AS score FROM (SELECT row_id, pos, unnest(arg_max({{'ref': ref, 'alt': alt, 'score': round(score, 9)}}, (round(score, 9), -instr('ACGTN', alt)))) FROM scored GROUP BY row_id, pos) GROUP BY row_id, ref, alt")
 def ism_max_base(spark, sf):
-    best = mu.strongest_base(_effects(spark, sf).withColumn("score", F.round("score", 9)), "row_id")
+    best = mu.strongest_base(_sites(spark, sf), "row_id", 9)
     return best.groupBy("row_id", "ref", "alt").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 9).alias("score"))
 
 
 @query("rolling_center", f"WITH {EFFECTS}, b AS {_MAXABS}, r AS (SELECT row_id, avg(abs(score)) OVER (PARTITION BY row_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS rolling FROM b) SELECT row_id, count(*) AS n, round(max(rolling), 6) AS top, round(avg(rolling), 6) AS mean, round(quantile_cont(rolling, 0.9), 6) AS p90 FROM r GROUP BY row_id")
 def rolling_center(spark, sf):
-    r = mu.rolling_mean(mu.position_scores(_effects(spark, sf), "row_id"), "row_id", "pos", F.abs("score"), 10)
+    r = mu.rolling_mean(mu.position_scores(_sites(spark, sf), "row_id"), "row_id", "pos", F.abs("score"), 10)
     return r.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("rolling"), 6).alias("top"), F.round(F.avg("rolling"), 6).alias("mean"), F.round(F.percentile("rolling", 0.9), 6).alias("p90"))
 
 
 def _exact(spark, sf):
     """Position scores on a grid, so that no rolling mean lies within rounding of its limit."""
-    return mu.position_scores(_effects(spark, sf), "row_id").withColumn("score", F.round(F.col("score") * 4096))
+    return mu.position_scores(_sites(spark, sf), "row_id").withColumn("score", F.round(F.col("score") * 4096))
 
 
 @query("hot_islands", f"""WITH {EFFECTS}, b AS (SELECT row_id, pos, round(score * 4096) AS score FROM {_MAXABS}),
@@ -184,7 +185,7 @@ def hotspot_motif(spark, sf):
 
 @query("tfmodisco_hyp", f"WITH {EFFECTS}, h AS (SELECT row_id, pos, any_value(ref) AS ref, " + ", ".join(f"sum(CASE WHEN alt = '{b}' THEN score ELSE 0 END) AS {b.lower()}" for b in "ACGT") + ", -avg(score) AS at_ref FROM scored GROUP BY row_id, pos) SELECT row_id, ref, count(*) AS n, " + ", ".join(f"round(sum({c}), 5) AS {c}" for c in ("a", "c", "g", "t", "at_ref")) + " FROM h GROUP BY row_id, ref")
 def tfmodisco_hyp(spark, sf):
-    h = mu.hypothetical_scores(_effects(spark, sf), "row_id")
+    h = mu.hypothetical_scores(_sites(spark, sf), "row_id")
     return h.groupBy("row_id", "ref").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(c), 5).alias(c) for c in ("a", "c", "g", "t", "at_ref")])
 
 

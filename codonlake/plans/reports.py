@@ -95,7 +95,7 @@ def plot_mut_heatmap(spark, sf):
 
 @query("plot_mut_lines", f"WITH {EFFECTS}, p AS (SELECT row_id, pos, sum(CASE WHEN score >= 0 THEN score ELSE 0 END) AS gain, sum(CASE WHEN score < 0 THEN -score ELSE 0 END) AS loss FROM scored GROUP BY row_id, pos), l AS (SELECT pos, 'gain' AS kind, gain AS v FROM p UNION ALL SELECT pos, 'loss', loss FROM p) SELECT pos, kind, count(*) AS n, round(avg(v), 6) AS score FROM l GROUP BY pos, kind")
 def plot_mut_lines(spark, sf):
-    p = mu.gain_loss(mu.effects(read_table(spark, sf, "dev"), "row_id", "sequence"), "row_id")
+    p = mu.gain_loss(mu.site_effects(read_table(spark, sf, "dev"), "row_id", "sequence"), "row_id")
     long = be.long_metrics(p, ["row_id", "pos"])
     return long.groupBy("pos", F.col("metric").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("score"))
 
