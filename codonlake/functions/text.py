@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+# All white space of Unicode, and what separates words of the public ROUGE definition.
+_WHITE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_NOT_ROUGE = "[^a-z0-9]+"
+
+
 def words(text: Column) -> Column:
     """White-space separated words; an empty array for blank or null text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), _WHITE), lambda w: w != "")
+
+
+def rouge_words(text: Column) -> Column:
+    """Runs of the letters a to z and digits in lower case, as ROUGE compares them."""
+    return words(F.regexp_replace(F.lower(text), _NOT_ROUGE, " "))
 
 
 def normal_answer(text: Column) -> Column:

@@ -1,31 +1,67 @@
-"""Metrics of generated text against references. Counting is by exploded n-grams, so texts of any length are fine;
-distances and subsequences that no built-in function gives run in Arrow batches."""
+"""Metrics of generated text against references. N-grams are counted within a row, in Arrow batches, and a few numbers a
+row leave it; so do distances and subsequences that no built-in function gives. References are an array of words, or an
+array of such arrays where a text has several."""
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codonlake.functions import text as tx
 from codonlake.session import running_totals
 
 
-def ngram_matches(df: DataFrame, id_col: str, pred: Column, ref: Column, most: int, sep: str = " ") -> DataFrame:
-    """(id, n, matches, pred_total, ref_total): clipped common n-grams of two arrays of strings, n from 1 to ``most``."""
-    def of_order(items: Column, n: int, s: int) -> Column:
-        return F.transform(tx.ngrams(items, n, sep), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(s).alias("s")))
+def _grams(items: list, n: int) -> Counter:
+    return Counter(items) if n == 1 else Counter(zip(*(items[i:] for i in range(n)), strict=False))
 
-    def side(items: Column, s: int) -> Column:
-        return F.flatten(F.array(*[of_order(items, n, s) for n in range(1, most + 1)]))
 
-    rows = df.select(id_col, pred.alias("__p"), ref.alias("__r"))
-    grams = rows.select(id_col, F.explode(F.concat(side(F.col("__p"), 1), side(F.col("__r"), 0))).alias("x")).select(id_col, "x.*")
-    counts = grams.groupBy(id_col, "n", "g").agg(F.sum("s").alias("p"), F.sum(1 - F.col("s")).alias("r"))
-    return counts.groupBy(id_col, "n").agg(F.sum(F.least("p", "r")).alias("matches"), F.sum("p").alias("pred_total"), F.sum("r").alias("ref_total"))
+def _several(df: DataFrame, ref: Column) -> Column:
+    """References as an array of arrays; none for null."""
+    nested = isinstance(df.select(ref.alias("r")).schema["r"].dataType.elementType, T.ArrayType)
+    return F.coalesce(ref if nested else F.array(ref), F.array().cast("array<array<string>>"))
+
+
+def ngram_matches(df: DataFrame, id_col: str, pred: Column, ref: Column, most: int) -> DataFrame:
+    """(id, n, matches, pred_total, ref_total): common n-grams, n from 1 to ``most``. With several references an n-gram
+    counts at most as often as in the one that has it most, and ``ref_total`` is that of the reference with the most
+    matches for its length. Orders of which neither side has an n-gram are left out."""
+    rows = df.select(id_col, F.coalesce(pred, F.array().cast("array<string>")).alias("__p"), _several(df, ref).alias("__r"))
+    one = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "matches", "pred_total", "ref_total")])
+    schema = T.StructType([rows.schema[id_col], T.StructField("m", T.ArrayType(one))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p, refs in zip(b.column("__p").to_pylist(), b.column("__r").to_pylist(), strict=True):
+                refs, mine = [r for r in refs if r is not None] or [[]], []
+                for n in range(1, most + 1):
+                    have, wanted = _grams(p, n), [_grams(r, n) for r in refs]
+                    total, totals = max(0, len(p) - n + 1), [max(0, len(r) - n + 1) for r in refs]
+                    hits = [sum(min(c, w[g]) for g, c in have.items() if g in w) for w in wanted]
+                    found = hits[0] if len(refs) == 1 else sum(min(c, max(w[g] for w in wanted)) for g, c in have.items())
+                    best = max(range(len(refs)), key=lambda k: hits[k] / max(total, totals[k], 1))
+                    if total or totals[best]:
+                        mine.append({"n": n, "matches": found, "pred_total": total, "ref_total": totals[best]})
+                out.append(mine)
+            kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("n", "matches", "pred_total", "ref_total")]))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(out, kind)], [id_col, "m"])
+
+    return rows.mapInArrow(run, schema).select(id_col, F.explode("m").alias("m")).select(id_col, F.col("m.n").cast("int").alias("n"), "m.matches", "m.pred_total", "m.ref_total")
+
+
+def lengths(df: DataFrame, pred: Column, ref: Column, how: str = "shortest") -> DataFrame:
+    """(pred_length, ref_length): words of each text and of its shortest reference, or with ``closest`` of the one whose
+    length is nearest (the shorter on ties)."""
+    rows = df.select(F.coalesce(F.size(pred), F.lit(0)).alias("c"), F.transform(_several(df, ref), lambda r: F.coalesce(F.size(r), F.lit(0))).alias("r"))
+    nearest = F.array_min(F.transform("r", lambda n: F.struct(F.abs(n - F.col("c")).alias("off"), n.alias("n"))))["n"]
+    return rows.select(F.col("c").alias("pred_length"), F.coalesce(F.array_min("r") if how == "shortest" else nearest, F.lit(0)).alias("ref_length"))
 
 
 def bleu(matches: DataFrame, lengths: DataFrame, most: int = 4) -> DataFrame:
@@ -44,6 +80,12 @@ def gleu(matches: DataFrame, id_col: str) -> DataFrame:
     return s.select(id_col, F.when(F.col("t") > 0, F.col("m") / F.col("t")).otherwise(0.0).alias("gleu"))
 
 
+def corpus_gleu(matches: DataFrame, id_col: str) -> DataFrame:
+    """(gleu) of a whole table: the sums of both sides of ``gleu`` over all texts."""
+    s = matches.groupBy(id_col).agg(F.sum("matches").alias("m"), F.greatest(F.sum("pred_total"), F.sum("ref_total")).alias("t"))
+    return s.agg(F.coalesce(F.try_divide(F.sum("m"), F.sum("t")), F.lit(0.0)).alias("gleu"))
+
+
 def f_score(p: Column, r: Column, beta: float = 1.0) -> Column:
     b = beta * beta
     return F.when((p + r) == 0, 0.0).otherwise((1 + b) * p * r / (b * p + r))
@@ -85,17 +127,26 @@ def best_threshold(df: DataFrame, score: str, gain: str, no_answer: str) -> Data
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, in the memory of one row."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence. A bit of one long number stands for each word of ``a``, so a word of ``b``
+    takes one step over all of them."""
+    return len(a) - _unmatched(a, b).bit_count()
+
+
+def _unmatched(a: list[str], b: list[str]) -> int:
+    """The bits of the words of ``a`` at whose end the longest common subsequence with ``b`` doesn't grow."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    state = whole
+    for y in b:
+        hit = state & at.get(y, 0)
+        state = ((state + hit) | (state - hit)) & whole
+    return state
 
 
 def rouge_l(pred: Column, ref: Column) -> Column:
-    """F1 of the longest common subsequence of words."""
+    """F1 of the longest common subsequence of words, as ROUGE takes words."""
     @F.pandas_udf("double")
     def run(p: pd.Series, r: pd.Series) -> pd.Series:
         out = []
@@ -104,40 +155,44 @@ def rouge_l(pred: Column, ref: Column) -> Column:
             out.append(2 * n / (len(x) + len(y)) if n else 0.0)
         return pd.Series(out)
 
-    return run(tx.words(pred), tx.words(ref))
+    return run(tx.rouge_words(pred), tx.rouge_words(ref))
 
 
-def sari_score(source: str, pred: str, ref: str) -> float:
-    """Mean over n = 1 to 4 of the F1 of kept and of added n-grams and the precision of deleted ones; 0/0 counts as 1.
+def sari_score(source: list[str], pred: list[str], refs: list[list[str]]) -> float:
+    """Mean over n = 1 to 4 of the F1 of kept and of added n-grams and the precision of deleted ones, from 0 to 1.
 
-    Counts are of n-gram multisets for keeping and deleting, of sets for adding, with one reference.
+    Counts of the source and the text are multiplied by the number of references, whose counts are added up. Precision of
+    kept and of deleted n-grams is the mean of their shares, recall of kept ones a share of all counts; added n-grams are
+    compared as sets; a share of nothing is 1.
     """
-    def grams(text: str, n: int) -> Counter:
-        w = text.lower().split()
-        return Counter(" ".join(w[i : i + n]) for i in range(len(w) - n + 1))
-
-    share = lambda a, b: a / b if b else 1.0
+    share = lambda part, of: part / of if of else 1.0
+    f1 = lambda p, r: 2 * p * r / (p + r) if p + r else 0.0
+    times = lambda c: Counter({g: k * len(refs) for g, k in c.items()})
     total = 0.0
     for n in range(1, 5):
-        s, p, r = grams(source, n), grams(pred, n), grams(ref, n)
-        kept, should_keep = s & p, s & r
+        s, p, r = times(_grams(source, n)), times(_grams(pred, n)), sum((_grams(x, n) for x in refs), Counter())
+        kept, worth_keeping, gone = s & p, s & r, s - p
         good = kept & r
-        kp, kr = share(sum(good[g] / kept[g] for g in good), len(kept)), share(sum(good[g] / should_keep[g] for g in good), len(should_keep))
-        gone, should_go = s - p, s - r
-        d = share(sum((gone & should_go)[g] / gone[g] for g in gone & should_go), len(gone))
-        added, should_add = set(p) - set(s), set(r) - set(s)
-        ap, ar = share(len(added & should_add), len(added)), share(len(added & should_add), len(should_add))
-        f = lambda x, y: 2 * x * y / (x + y) if x + y else 0.0
-        total += (f(kp, kr) + d + f(ap, ar)) / 3
+        keep = f1(share(sum(good[g] / kept[g] for g in good), len(kept)), share(good.total(), worth_keeping.total()))
+        rightly_gone = gone - r
+        delete = share(sum(rightly_gone[g] / gone[g] for g in rightly_gone), len(gone))
+        new, wanted = p.keys() - s.keys(), r.keys() - s.keys()
+        add = f1(share(len(new & wanted), len(new)), share(len(new & wanted), len(wanted)))
+        total += (keep + delete + add) / 3
     return total / 4
 
 
-def sari(source: Column, pred: Column, ref: Column) -> Column:
+def sari(source: Column, pred: Column, refs: Column) -> Column:
+    """SARI from 0 to 100 of each row; ``refs`` is an array of texts. Texts are compared in lower case by their 13a words;
+    one without words counts as one empty word. Null for a null text or no reference."""
     @F.pandas_udf("double")
     def run(s: pd.Series, p: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([sari_score(*x) for x in zip(s.fillna(""), p.fillna(""), r.fillna(""), strict=True)])
+        some = lambda w: list(w) or [""]
+        known = lambda *x: all(y is not None for y in x) and len(x[2])
+        return pd.Series([100 * sari_score(some(a), some(b), [some(c) for c in cs]) if known(a, b, cs) else None for a, b, cs in zip(s, p, r, strict=True)], dtype="float64")
 
-    return run(source, pred, ref)
+    tokens = lambda c: F.when(c.isNotNull(), tx.tokens_13a(F.lower(c)))
+    return run(tokens(source), tokens(pred), F.transform(refs, lambda c: tx.tokens_13a(F.lower(c))))
 
 
 def b_cubed(df: DataFrame, mention: str, key: str, response: str) -> DataFrame:

@@ -10,15 +10,14 @@ from codonlake.operators import metrics as me
 from codonlake.operators import text_metrics as tm
 from codonlake.plans.evaluation import RUN, SCORED, _NEAR, cosine_top10, scored
 from codonlake.plans.registry import query
-from codonlake.plans.texts import DOCS, docs, grams_sql, pairs, words_sql
-from codonlake.session import read_table
+from codonlake.plans.texts import DOCS, docs, grams_sql, pairs, tokens_sql
+from codonlake.session import cut, read_table
 
 
-@query("m_sacrebleu", f"WITH {DOCS}, {grams_sql('docs', words_sql('lower(pred)'), words_sql('lower(ref)'), 4)}, o AS (SELECT n, sum(matches) AS m, sum(pt) AS t FROM m GROUP BY n), k AS (SELECT *, sum((m = 0)::int) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS miss FROM o), l AS (SELECT sum(len(p))::double AS c, sum(len(r))::double AS r FROM p) SELECT round(100 * CASE WHEN c >= r THEN 1 ELSE exp(1 - r / c) END * exp((SELECT sum(ln(CASE WHEN m > 0 THEN m / t ELSE 1 / (2.0::double ** miss * t) END)) FROM k) / 4), 6) AS bleu FROM l")
+@query("m_sacrebleu", f"WITH {DOCS}, {grams_sql('docs', tokens_sql('pred'), tokens_sql('ref'), 4)}, o AS (SELECT n, sum(matches) AS m, sum(pt) AS t FROM m GROUP BY n), k AS (SELECT *, sum((m = 0)::int) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS miss FROM o), l AS (SELECT sum(len(p))::double AS c, sum(len(r))::double AS r FROM p) SELECT round(100 * CASE WHEN c >= r THEN 1 ELSE exp(1 - r / c) END * exp((SELECT sum(ln(CASE WHEN m > 0 THEN m / t ELSE 1 / (2.0::double ** miss * t) END)) FROM k) / 4), 6) AS bleu FROM l")
 def m_sacrebleu(spark, sf):
-    d = docs(spark, sf)
-    p, r = tx.words(F.lower("pred")), tx.words(F.lower("ref"))
-    out = tm.smoothed_bleu(tm.ngram_matches(d, "id", p, r, 4), d.select(F.size(p).alias("pred_length"), F.size(r).alias("ref_length")))
+    d = cut(docs(spark, sf).select("id", tx.tokens_13a(F.col("pred")).alias("p"), tx.tokens_13a(F.col("ref")).alias("r")))
+    out = tm.smoothed_bleu(tm.ngram_matches(d, "id", F.col("p"), F.col("r"), 4), tm.lengths(d, F.col("p"), F.col("r"), "closest"))
     return out.select(F.round("bleu", 6).alias("bleu"))
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonlake.functions import text as tx
 from codonlake.operators import text_metrics as tm
 from codonlake.plans.registry import query
-from codonlake.session import read_table
+from codonlake.session import cut, read_table, running_totals
 
 #: Two spellings of a part, and the name of another part.
 PAIRS = "pairs AS (SELECT p_partkey AS id, concat('The ', p_name, ', a ', p_type, '!') AS pred, concat(p_type, ' ', p_name, CASE WHEN p_partkey % 3 = 0 THEN ' the ' || p_brand ELSE '' END) AS ref FROM part)"
@@ -24,15 +24,37 @@ DOCS = "docs AS (SELECT doc_id AS id, text AS pred, lag(text) OVER (PARTITION BY
 
 
 def docs(spark, sf) -> DataFrame:
+    """Ranks in order come from running sums over ranges of the identifiers, so no task holds a study, and texts are joined
+    only by identifier."""
     d = read_table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("pred"), F.lag("text").over(Window.partitionBy("study").orderBy("doc_id")).alias("ref"))
+    ranked = cut(running_totals(d.select("study", "doc_id", F.lit(1).alias("one")), ["study"], "doc_id", {"one": "rank"}))
+    before = ranked.select("study", (F.col("rank") + 1).alias("rank"), F.col("doc_id").alias("before"))
+    pair = ranked.join(before, [ranked["study"].eqNullSafe(before["study"]), ranked["rank"] == before["rank"]], "left").select("doc_id", "before")
+    refs = d.select(F.col("doc_id").alias("before"), F.col("text").alias("ref"))
+    return pair.join(d.select("doc_id", F.col("text").alias("pred")), "doc_id").join(refs, "before", "left").select(F.col("doc_id").alias("id"), "pred", "ref")
 
 
 _PUNCT = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
 
 
 def words_sql(c: str) -> str:
-    return f"list_filter(regexp_split_to_array(coalesce({c}, ''), '\\s+'), lambda w: w <> '')"
+    white = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    return f"list_filter(regexp_split_to_array(coalesce({c}, ''), '{white}'), lambda w: w <> '')"
+
+
+def rouge_sql(c: str) -> str:
+    return words_sql(f"regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')")
+
+
+def tokens_sql(c: str) -> str:
+    """The 13a words."""
+    t = f"coalesce({c}, '')"
+    for a, b in (("'<skipped>'", "''"), ("'-' || chr(10)", "''"), ("chr(10)", "' '"), ("'&quot;'", "chr(34)"), ("'&amp;'", "'&'"), ("'&lt;'", "'<'"), ("'&gt;'", "'>'")):
+        t = f"replace({t}, {a}, {b})"
+    t = f"concat(' ', {t}, ' ')"
+    for a, b in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        t = f"regexp_replace({t}, '{a}', '{b}', 'g')"
+    return words_sql(t)
 
 
 def normal_sql(c: str) -> str:
@@ -69,30 +91,29 @@ def m_wer(spark, sf):
     return pairs(spark, sf).agg(F.round(F.sum(tx.word_distance(p, r)) / F.sum(F.size(r)), 9).alias("wer"))
 
 
-@query("m_bleu", f"WITH {DOCS}, {grams_sql('docs', words_sql('pred'), words_sql('ref'), 4)}, o AS (SELECT n, sum(matches) AS m, sum(pt) AS t FROM m GROUP BY n), l AS (SELECT sum(len(p))::double AS c, sum(len(r))::double AS r FROM p) SELECT round(CASE WHEN c > r THEN 1 ELSE exp(1 - r / c) END * exp((SELECT sum(ln(m / t)) FROM o) / 4), 6) AS bleu, round(CASE WHEN c > r THEN 1 ELSE exp(1 - r / c) END, 6) AS brevity, round(c / r, 6) AS ratio FROM l")
+@query("m_bleu", f"WITH {DOCS}, {grams_sql('docs', tokens_sql('pred'), tokens_sql('ref'), 4)}, o AS (SELECT n, sum(matches) AS m, sum(pt) AS t FROM m GROUP BY n), l AS (SELECT sum(len(p))::double AS c, sum(len(r))::double AS r FROM p) SELECT round(CASE WHEN c > r THEN 1 ELSE exp(1 - r / c) END * exp((SELECT sum(ln(m / t)) FROM o) / 4), 6) AS bleu, round(CASE WHEN c > r THEN 1 ELSE exp(1 - r / c) END, 6) AS brevity, round(c / r, 6) AS ratio FROM l")
 def m_bleu(spark, sf):
-    d = docs(spark, sf)
-    p, r = tx.words(F.col("pred")), tx.words(F.col("ref"))
-    out = tm.bleu(tm.ngram_matches(d, "id", p, r, 4), d.select(F.size(p).alias("pred_length"), F.size(r).alias("ref_length")))
+    d = cut(docs(spark, sf).select("id", tx.tokens_13a(F.col("pred")).alias("p"), tx.tokens_13a(F.col("ref")).alias("r")))
+    out = tm.bleu(tm.ngram_matches(d, "id", F.col("p"), F.col("r"), 4), tm.lengths(d, F.col("p"), F.col("r")))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query("m_gleu", f"WITH {DOCS}, {grams_sql('docs', words_sql('pred'), words_sql('ref'), 4)} SELECT id, round(sum(matches) / greatest(sum(pt), sum(rt)), 6) AS gleu FROM m GROUP BY id")
+@query("m_gleu", f"WITH {DOCS}, {grams_sql('docs', tokens_sql('pred'), tokens_sql('ref'), 4)} SELECT id, round(sum(matches) / greatest(sum(pt), sum(rt)), 6) AS gleu FROM m GROUP BY id")
 def m_gleu(spark, sf):
-    out = tm.gleu(tm.ngram_matches(docs(spark, sf), "id", tx.words(F.col("pred")), tx.words(F.col("ref")), 4), "id")
+    out = tm.gleu(tm.ngram_matches(docs(spark, sf), "id", tx.tokens_13a(F.col("pred")), tx.tokens_13a(F.col("ref")), 4), "id")
     return out.select("id", F.round("gleu", 6).alias("gleu"))
 
 
 @query("m_chrf", f"WITH {PAIRS}, {grams_sql('pairs', chr(10).join(['list_filter(string_split(pred, ' + chr(39) * 2 + '), lambda x: x <> ' + chr(39) + ' ' + chr(39) + ')']), 'list_filter(string_split(ref, ' + chr(39) * 2 + '), lambda x: x <> ' + chr(39) + ' ' + chr(39) + ')', 6, '')}, o AS (SELECT n, sum(matches) / sum(pt) AS p, sum(matches) / sum(rt) AS r FROM m GROUP BY n), a AS (SELECT avg(p) AS p, avg(r) AS r FROM o) SELECT round(100 * 5 * p * r / (4 * p + r), 6) AS chrf FROM a")
 def m_chrf(spark, sf):
     letters = lambda c: F.filter(F.split(c, ""), lambda x: x != " ")
-    out = tm.chrf(tm.ngram_matches(pairs(spark, sf), "id", letters("pred"), letters("ref"), 6, ""))
+    out = tm.chrf(tm.ngram_matches(pairs(spark, sf), "id", letters("pred"), letters("ref"), 6))
     return out.select(F.round("chrf", 6).alias("chrf"))
 
 
-@query("m_rouge_n", f"WITH {DOCS}, {grams_sql('docs', words_sql('lower(pred)'), words_sql('lower(ref)'), 2)}, q AS (SELECT id, n, CASE WHEN pt > 0 THEN matches / pt ELSE 0 END AS p, CASE WHEN rt > 0 THEN matches / rt ELSE 0 END AS r FROM m) SELECT id, n::int AS n, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS rouge FROM q")
+@query("m_rouge_n", f"WITH {DOCS}, {grams_sql('docs', rouge_sql('pred'), rouge_sql('ref'), 2)}, q AS (SELECT id, n, CASE WHEN pt > 0 THEN matches / pt ELSE 0 END AS p, CASE WHEN rt > 0 THEN matches / rt ELSE 0 END AS r FROM m) SELECT id, n::int AS n, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS rouge FROM q")
 def m_rouge_n(spark, sf):
-    out = tm.rouge_n(tm.ngram_matches(docs(spark, sf), "id", tx.words(F.lower("pred")), tx.words(F.lower("ref")), 2), "id")
+    out = tm.rouge_n(tm.ngram_matches(docs(spark, sf), "id", tx.rouge_words(F.col("pred")), tx.rouge_words(F.col("ref")), 2), "id")
     return out.select("id", "n", F.round("rouge", 6).alias("rouge"))
 
 
@@ -103,7 +124,7 @@ def m_rouge_l(spark, sf):
 
 @query("m_sari")
 def m_sari(spark, sf):
-    return pairs(spark, sf).select("id", F.round(tm.sari(F.concat("ref", F.lit(" item")), F.col("pred"), F.col("ref")), 6).alias("sari"))
+    return pairs(spark, sf).select("id", F.round(tm.sari(F.concat("ref", F.lit(" item")), F.col("pred"), F.array("ref")), 6).alias("sari"))
 
 
 _BAG = grams_sql("pairs", words_sql(normal_sql("pred")), words_sql(normal_sql("ref")), 1)
@@ -140,7 +161,7 @@ def m_perplexity(spark, sf):
     return out.select("user_id", F.round("perplexity", 6).alias("perplexity"))
 
 
-@query("tokens_13a")
+@query("tokens_13a", f"SELECT doc_id, len(t)::int AS n, len(list_distinct(t))::int AS n_distinct FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
 def tokens_13a(spark, sf):
     t = read_table(spark, sf, "documents").select("doc_id", tx.tokens_13a(F.col("text")).alias("tokens"))
     return t.select("doc_id", F.size("tokens").alias("n"), F.size(F.array_distinct("tokens")).alias("n_distinct"))

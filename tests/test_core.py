@@ -227,7 +227,7 @@ def test_text_functions(spark):
     assert f(tx.normal_answer, "The  Cat, a dog!") == "cat dog" and f(tx.tokens_13a, 'Hi, "x" 3.14.') == ["Hi", ",", '"', "x", '"', "3.14", "."]
     d = lambda a, b: one(spark, tx.word_distance(tx.words(F.col("a")), tx.words(F.col("b"))), a=a, b=b)
     assert d("a b c", "a x c d") == 2 and d("", "a b") == 2 and d("a", "a") == 0
-    assert tm.common_subsequence("abcde", "xbxde") == 3 and tm.sari_score("a b", "a b", "a b") == 1.0
+    assert tm.common_subsequence("abcde", "xbxde") == 3 and tm.sari_score(["a", "b"], ["a", "b"], [["a", "b"]]) == 1.0
 
 
 def test_interpolated(spark):
