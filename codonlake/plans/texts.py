@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codonlake.functions import text as tx
 from codonlake.operators import text_metrics as tm
 from codonlake.plans.registry import query
-from codonlake.session import cut, read_table, running_totals
+from codonlake.session import cut, read_table, running_totals, spread
 
 #: Two spellings of a part, and the name of another part.
 PAIRS = "pairs AS (SELECT p_partkey AS id, concat('The ', p_name, ', a ', p_type, '!') AS pred, concat(p_type, ' ', p_name, CASE WHEN p_partkey % 3 = 0 THEN ' the ' || p_brand ELSE '' END) AS ref FROM part)"
@@ -31,7 +31,7 @@ def docs(spark, sf) -> DataFrame:
     before = ranked.select("study", (F.col("rank") + 1).alias("rank"), F.col("doc_id").alias("before"))
     pair = ranked.join(before, [ranked["study"].eqNullSafe(before["study"]), ranked["rank"] == before["rank"]], "left").select("doc_id", "before")
     refs = d.select(F.col("doc_id").alias("before"), F.col("text").alias("ref"))
-    return pair.join(d.select("doc_id", F.col("text").alias("pred")), "doc_id").join(refs, "before", "left").select(F.col("doc_id").alias("id"), "pred", "ref")
+    return spread(cut(pair.join(d.select("doc_id", F.col("text").alias("pred")), "doc_id").join(refs, "before", "left").select(F.col("doc_id").alias("id"), "pred", "ref")))
 
 
 _PUNCT = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
