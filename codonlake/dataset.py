@@ -34,9 +34,11 @@ class SequenceDataset:
             raise ValueError(f"kind must be one of {', '.join(KINDS)}")
 
     @classmethod
-    def load(cls, spark: SparkSession, paths: str | list[str] | Mapping[str, str | list[str]], kind: str = "unknown", **options: str) -> SequenceDataset:
-        """Files as a dataset. Rows get their identifiers in file order within each part of a file."""
-        df = files.standard_columns(files.read(spark, paths, **options)).withColumn("row_id", F.monotonically_increasing_id())
+    def load(cls, spark: SparkSession, paths: str | list[str] | Mapping[str, str | list[str]], kind: str = "unknown", label_sep: str = ";", **options: str) -> SequenceDataset:
+        """Files as a dataset, with labels typed by its kind. Rows get their identifiers in file order within each part of a
+        file."""
+        df = files.standard_columns(files.read(spark, paths, **options))
+        df = files.typed_labels(df, kind, "labels", label_sep).withColumn("row_id", F.monotonically_increasing_id())
         return cls(df, split="split" if isinstance(paths, Mapping) else None, kind=kind)
 
     @property

@@ -344,3 +344,52 @@ def geometric_mean(df: DataFrame, value: str, least: float = 1e-5) -> DataFrame:
 def precision_at(top: DataFrame, relevant: str, by: str, k: int = 10) -> DataFrame:
     """(by, precision) of ranked rows (by, rank, ...) with a flag for relevant ones."""
     return top.where(F.col("rank") <= k).groupBy(by).agg((F.count_if(relevant) / k).alias("precision"))
+
+
+#: The label of tokens that aren't to be scored.
+IGNORED = "-100"
+
+
+def token_summary(tokens: DataFrame, row: str, place: str, y: str, pred: str) -> DataFrame:
+    """(precision, recall, f1, accuracy): entities of all kinds together, and the share of tokens with the right tag. Tokens
+    labelled -100 are dropped first."""
+    used = tokens.where(F.col(y).isNull() | (F.col(y).cast("string") != IGNORED))
+    kinds = entity_scores(entity_spans(used, row, place, y), entity_spans(used, row, place, pred), row)
+    sums = kinds.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_true", "n_pred", "n_both")])
+    hit = F.col("n_both")
+    micro = sums.select(_zero_ratio(hit, F.col("n_pred")).alias("precision"), _zero_ratio(hit, F.col("n_true")).alias("recall"), _zero_ratio(2 * hit, F.col("n_true") + F.col("n_pred")).alias("f1"))
+    return micro.crossJoin(used.agg(F.avg((F.col(y) == F.col(pred)).cast("double")).alias("accuracy")))
+
+
+def label_rows(df: DataFrame, by: list[str], y: str, scores: str, many: bool = False) -> DataFrame:
+    """(by..., label, y, score): each label of each row against the rest, from a class number and its scores, or with
+    ``many`` from an array of 0 and 1."""
+    each = df.select(*by, F.col(y).alias("__y"), F.posexplode(scores).alias("label", "score"))
+    truth = F.get("__y", F.col("label")) if many else (F.col("__y") == F.col("label"))
+    return each.select(*by, "label", truth.cast("int").alias("y"), "score").where("y is not null and score is not null")
+
+
+def mean_of_labels(df: DataFrame, by: list[str], y: str, scores: str, many: bool = False) -> DataFrame:
+    """(by..., auroc, auprc): areas of each label against the rest, averaged over labels that have both sides."""
+    rows = label_rows(df, by, y, scores, many)
+    keys = [*by, "label"]
+    areas = auroc(rows, keys, "y", "score").join(average_precision(rows, keys, "y", "score"), keys)
+    return areas.where("auroc is not null").groupBy(*by).agg(F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc"))
+
+
+def regression_outputs(df: DataFrame, by: list[str], y: str, pred: str) -> DataFrame:
+    """(by..., mse, mae, r2, pearson, spearman) of arrays of outputs: the means over outputs; correlations over those that
+    vary on both sides, 0 if none does."""
+    long = long_labels(df, by, y, pred)
+    keys = [*by, "label"]
+    each = regression(long, keys, "y", "pred", None).join(spearman(long, keys, "y", "pred"), keys)
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)).alias(c)
+    return each.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("mse", "mae", "r2")], mean("pearson"), mean("spearman"))
+
+
+def outliers(df: DataFrame, value: str, limit: float = 1.5) -> DataFrame:
+    """``df`` with ``z``, the value less the mean in sample standard deviations, and ``outlier``, whether that is above the
+    limit."""
+    s = df.agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
+    z = F.try_divide(F.col(value) - F.col("__mean"), F.col("__sd"))
+    return df.crossJoin(F.broadcast(s)).withColumn("z", z).withColumn("outlier", F.col("z") > limit).drop("__mean", "__sd")

@@ -96,3 +96,50 @@ def sequence_log_prob(tokens: DataFrame, by: str, place: str, token: str, logits
     each = tokens.withColumn("__next", following).where("__next is not null")
     lp = F.get(vec.log_softmax(F.col(logits)), F.col("__next"))
     return each.groupBy(by).agg(F.sum(lp).alias("log_prob"), F.count(F.lit(1)).alias("n"))
+
+
+def linked(logits: Column, task: str) -> Column:
+    """Scores of a task from logits: sigmoid of each (binary, multilabel), softmax (multiclass), the place of the largest
+    (token), or the logits as they are (regression and all others)."""
+    if task in ("binary", "multilabel"):
+        return F.transform(logits, vec.sigmoid)
+    if task == "multiclass":
+        return vec.softmax(logits)
+    if task == "token":
+        return vec.argmax(logits)
+    return logits
+
+
+#: Ways to make one number of a score vector.
+REDUCTIONS: dict[str, Callable[[Column], Column]] = {
+    "sum": vec.total, "mean": lambda v: F.try_divide(vec.total(v), F.size(v)), "max": F.array_max, "min": F.array_min,
+    "first": lambda v: F.get(v, F.lit(0)), "last": lambda v: F.try_element_at(v, F.lit(-1)),
+}
+
+
+def reduced(scores: Column, how: str) -> Column:
+    """A score vector as one number."""
+    if how not in REDUCTIONS:
+        raise ValueError(f"reduction must be one of {', '.join(REDUCTIONS)}")
+    return REDUCTIONS[how](scores)
+
+
+def token_prediction(logits: Column, names: list[str]) -> Column:
+    """Structs (label, score) of each token from its logits: the name of the likeliest class and its probability."""
+    labels = F.array(*[F.lit(n) for n in names])
+    return F.transform(logits, lambda t: F.struct(F.get(labels, vec.argmax(t)).alias("label"), F.array_max(vec.softmax(t)).alias("score")))
+
+
+def masked_log_likelihood(df: DataFrame, id_col: str, seq: str) -> DataFrame:
+    """(id, pll, n): the sum over the A, C, G and T of a sequence of the log-probability of each, with that base masked, among
+    the four that may stand there; scores are those of the native scorer with each base filled in. Other letters are not
+    masked. Everything of a position comes from its own row; only sums are shuffled."""
+    from codonlake.operators.mutagenesis import BASES, site_effects
+
+    odds = lambda p: p / (1 - p)
+    others = [F.coalesce(odds(F.col(f"m_{b.lower()}")) / odds(F.col("raw")), F.lit(0.0)) for b in BASES]
+    total = F.lit(1.0)
+    for o in others:
+        total = total + o
+    sites = site_effects(df, id_col, seq).where(F.col("ref").isin(list(BASES)))
+    return sites.groupBy(id_col).agg(F.sum(-F.log(total)).alias("pll"), F.count(F.lit(1)).alias("n"))

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonlake.operators import benchmark as be
+from codonlake.functions import text as tx
 from codonlake.operators import metrics as me
+from codonlake.operators import text_metrics as tm
 
 # The metric family of each sub-task of the public suites.
 GLUE = {"cola": "mcc", "stsb": "correlation", "mrpc": "accuracy_f1", "qqp": "accuracy_f1"} | dict.fromkeys(
     ("sst2", "mnli", "mnli_mismatched", "mnli_matched", "qnli", "rte", "wnli", "hans"), "accuracy"
 )
 SUPER_GLUE = {"axb": "mcc", "cb": "accuracy_macro_f1"} | dict.fromkeys(("copa", "rte", "wic", "wsc", "boolq", "axg"), "accuracy")
+XTREME_S = {"fleurs-lang_id": "accuracy", "minds14": "accuracy_f1", "covost2": "corpus_score", "fleurs-asr": "error_rates", "mls": "error_rates", "voxpopuli": "error_rates", "babel": "error_rates"}
+XNLI = {"xnli": "accuracy"}
 TASKS = {
     "binary": "binary", "multiclass": "multiclass", "multi_class": "multiclass", "regression": "regression",
     "binary_classification": "binary", "multi_class_classification": "multiclass",
@@ -56,17 +60,41 @@ def _multiclass(df: DataFrame, by: list[str], y: str, pred: str) -> DataFrame:
     return _join(by, *parts)
 
 
+def _corpus_score(df: DataFrame, by: list[str], y: str, pred: str) -> DataFrame:
+    if by:
+        raise ValueError("a corpus score is of a whole table")
+    d = df.select(F.lit(1).alias("id"), tx.tokens_13a(F.col(pred)).alias("p"), tx.tokens_13a(F.col(y)).alias("r"))
+    return tm.smoothed_bleu(tm.ngram_matches(d, "id", F.col("p"), F.col("r"), 4), tm.lengths(d, F.col("p"), F.col("r"), "closest"))
+
+
+def error_rates(df: DataFrame, by: list[str], y: str, pred: str) -> DataFrame:
+    """(by..., wer, cer): edits of words and of characters over those of the references."""
+    p, r = tx.words(F.col(pred)), tx.words(F.col(y))
+    wer = F.try_divide(F.sum(tx.word_distance(p, r)), F.sum(F.size(r)))
+    return df.groupBy(*by).agg(wer.alias("wer"), F.try_divide(F.sum(F.levenshtein(pred, y)), F.sum(F.length(y))).alias("cer"))
+
+
+def simplification(df: DataFrame, source: str, pred: str, refs: str) -> DataFrame:
+    """(sari, bleu, exact), each from 0 to 100: simplification scores of a whole table; ``refs`` is an array of texts, and
+    ``exact`` is the share of texts that equal a reference as normalised answers."""
+    right = F.exists(refs, lambda x: tx.normal_answer(x) == tx.normal_answer(F.col(pred)))
+    rows = df.select(tm.sari(F.col(source), F.col(pred), F.col(refs)).alias("s"), right.cast("double").alias("e")).agg(F.avg("s").alias("sari"), (100 * F.avg("e")).alias("exact"))
+    d = df.select(F.lit(1).alias("id"), tx.tokens_13a(F.col(pred)).alias("p"), F.transform(refs, tx.tokens_13a).alias("r"))
+    score = tm.smoothed_bleu(tm.ngram_matches(d, "id", F.col("p"), F.col("r"), 4), tm.lengths(d, F.col("p"), F.col("r"), "closest"))
+    return rows.crossJoin(score).select("sari", "bleu", "exact")
+
+
 FAMILIES: dict[str, Callable[[DataFrame, list[str], str, str], DataFrame]] = {
-    "accuracy": accuracy, "accuracy_f1": _accuracy_f1, "mcc": _mcc, "correlation": _correlation, "accuracy_macro_f1": _accuracy_macro_f1,
+    "accuracy": accuracy, "accuracy_f1": _accuracy_f1, "mcc": _mcc, "correlation": _correlation, "corpus_score": _corpus_score, "error_rates": error_rates, "accuracy_macro_f1": _accuracy_macro_f1,
     "binary": lambda df, by, y, pred: me.binary_rates(me.binary_counts(df, by, y, pred), by), "multiclass": _multiclass,
     "regression": lambda df, by, y, pred: _join(by, me.regression(df, by, y, pred), me.spearman(df, by, y, pred)),
 }
 
 
 def evaluate(df: DataFrame, task: str, by: list[str], y: str = "y", pred: str = "pred") -> DataFrame:
-    """(by..., metric, value): the metrics of a task, of ``glue/NAME`` or of ``super_glue/NAME``."""
+    """(by..., metric, value): the metrics of a task, of ``glue/NAME``, ``super_glue/NAME``, ``xtreme_s/NAME`` or ``xnli``."""
     suite, _, name = task.partition("/")
-    known = {"glue": GLUE, "super_glue": SUPER_GLUE}.get(suite, TASKS)
+    known = {"glue": GLUE, "super_glue": SUPER_GLUE, "xtreme_s": XTREME_S, "xnli": XNLI}.get(suite, TASKS)
     family = known.get(name or suite)
     if family is None:
         raise ValueError(f"no metrics for task {task}")

@@ -60,8 +60,8 @@ def label_names_of_predictions(spark, sf):
 
 @query("seq_logit_reduce", f"WITH {SCORED} SELECT model, round(avg(list_sum(logits)), 6) AS total, round(avg(list_max(logits)), 6) AS largest, round(avg(list_min(logits)), 6) AS least, round(avg(logits[1]), 6) AS first, round(avg(logits[-1]), 6) AS last FROM scored GROUP BY model")
 def seq_logit_reduce(spark, sf):
-    v = F.col("logits")
-    return r(scored(spark, sf).groupBy("model").agg(F.avg(vec.total(v)).alias("total"), F.avg(F.array_max(v)).alias("largest"), F.avg(F.array_min(v)).alias("least"), F.avg(v[0]).alias("first"), F.avg(F.element_at(v, -1)).alias("last")), "model")
+    how = {"total": "sum", "largest": "max", "least": "min", "first": "first", "last": "last"}
+    return r(scored(spark, sf).groupBy("model").agg(*[F.avg(scoring.reduced(F.col("logits"), h)).alias(n) for n, h in how.items()]), "model")
 
 
 @query("scrub_probabilities", "SELECT row_id, model, scored_at, received_at, [CASE WHEN isnan(x) OR x = '-infinity'::double THEN 0.0 WHEN x = 'infinity'::double THEN 1.0 ELSE x END for x in logits] AS clean FROM predictions")
@@ -313,9 +313,7 @@ def pool_center(spark, sf):
 @query("zscore_outliers", "WITH m AS (SELECT l_suppkey, avg(l_extendedprice) AS v FROM lineitem GROUP BY l_suppkey), z AS (SELECT l_suppkey, (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS z FROM m) SELECT l_suppkey, round(z, 6) AS z, z > 1.5 AS outlier FROM z")
 def zscore_outliers(spark, sf):
     m = read_table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("v"))
-    s = m.agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
-    z = (F.col("v") - F.col("mean")) / F.col("sd")
-    return m.crossJoin(F.broadcast(s)).select("l_suppkey", F.round(z, 6).alias("z"), (z > 1.5).alias("outlier"))
+    return me.outliers(m, "v").select("l_suppkey", F.round("z", 6).alias("z"), "outlier")
 
 
 _NEAR = f"WITH m AS (SELECT i, avg(x) AS mean FROM (SELECT unnest({_EMB}) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i), mm AS (SELECT list(mean ORDER BY i) AS mean FROM m), v AS (SELECT vec_id, [{_EMB}[i] - mean[i] for i in range(1, len(embedding) + 1)] AS v FROM embeddings, mm), s AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 9) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) SELECT id, other, rank, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rank FROM s) WHERE rank <= 10"

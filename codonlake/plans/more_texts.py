@@ -74,13 +74,6 @@ def m_precision_at_10(spark, sf):
     return me.precision_at(top, "ok", "id").select("id", F.round("precision", 6).alias("precision"))
 
 
-@query("pseudo_log_likelihood", "SELECT user_id, round(sum(ln(v / 10)), 5) AS pll, count(*) AS n FROM (SELECT user_id, greatest(least(value / 20, 9.9::double), 0.1::double) AS v FROM events) GROUP BY user_id")
-def pseudo_log_likelihood(spark, sf):
-    masked = read_table(spark, sf, "events").select("user_id", (F.greatest(F.least(F.col("value") / 20, F.lit(9.9)), F.lit(0.1)) / 10).alias("p"))
-    out = masked.groupBy("user_id").agg(F.sum(F.log("p")).alias("pll"), F.count(F.lit(1)).alias("n"))
-    return out.select("user_id", F.round("pll", 5).alias("pll"), "n")
-
-
 @query("minmax_attributions", "SELECT row_id, model, [CASE WHEN list_max(logits) - list_min(logits) <= 1e-12 THEN 0.0 ELSE round((x - list_min(logits)) / (list_max(logits) - list_min(logits) + 1e-8), 6) END for x in logits] AS scaled, scored_at, received_at FROM predictions WHERE len(logits) = 2 AND NOT isnan(logits[1]) AND NOT isnan(logits[2])")
 def minmax_attributions(spark, sf):
     p = read_table(spark, sf, "predictions").where(vec.is_scored(F.col("logits"), 2))

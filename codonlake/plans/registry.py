@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries when they are imported.
-MODULES: list[str] = ["raw_lines", "scalar", "mutants", "evaluation", "datasets", "texts", "reports", "suites", "more_texts"]
+MODULES: list[str] = ["raw_lines", "scalar", "mutants", "evaluation", "datasets", "texts", "reports", "suites", "more_texts", "predictions"]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

@@ -54,6 +54,33 @@ def _first_line(spark: SparkSession, path: str) -> str:
     return row["value"] if row else ""
 
 
+def header_names(first_line: Column, seq_col: str = "sequence", label_col: str = "labels") -> tuple[Column, Column]:
+    """Whether a file's first line names the sequence and the label: a text file with both is a table, and a table with
+    neither is a text file."""
+    return F.contains(first_line, F.lit(seq_col)).alias("named_sequence"), F.contains(first_line, F.lit(label_col)).alias("named_label")
+
+
+def typed_labels(df: DataFrame, kind: str, label: str = "labels", sep: str = ";") -> DataFrame:
+    """Labels as their kind asks: whole numbers where all are (classification, else as they are), numbers (regression), or
+    arrays of numbers from separated text (multi_label, multi_regression). What is no number is null. Labels that aren't
+    text are only cast."""
+    if label not in df.columns or kind == "unknown":
+        return df
+    text = df.schema[label].dataType.simpleString() == "string"
+    if kind in ("multi_label", "multi_regression"):
+        values = label_values(F.col(label), sep) if text else F.col(label).cast("array<double>")
+        return df.withColumn(label, F.transform(values, lambda x: x.cast("int")) if kind == "multi_label" else values)
+    number = label_number(F.col(label)) if text else F.col(label).cast("double")
+    if kind == "regression":
+        return df.withColumn(label, number)
+    if kind != "classification":
+        raise ValueError(f"unknown kind {kind}")
+    if not text:
+        return df
+    other = df.where(F.col(label).isNotNull() & (number.isNull() | (number != F.floor(number)))).limit(1).count()
+    return df if other else df.withColumn(label, number.cast("int"))
+
+
 def read_one(spark: SparkSession, path: str | list[str], seq_col: str = "sequence", label_col: str = "labels", sep: str | None = None, fasta_sep: str = "|") -> DataFrame:
     """One file, or several of the first one's format."""
     paths = [os.path.expanduser(p) for p in ([path] if isinstance(path, str) else path)]
@@ -63,7 +90,7 @@ def read_one(spark: SparkSession, path: str | list[str], seq_col: str = "sequenc
     sep = "," if kind == ".csv" else "\t" if kind == ".tsv" else sep
     if kind in (".csv", ".tsv", ".txt") and len(paths) == 1:
         first = _first_line(spark, paths[0])
-        named = (seq_col in first, label_col in first)
+        named = spark.range(1).select(*header_names(F.lit(first), seq_col, label_col)).first()
         if kind == ".txt":
             kind = ".csv" if all(named) else ".txt"
         elif not any(named):
