@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codonlake.functions.vectors import let
+
 
 def gc_content(seq: Column) -> Column:
     """Share of G and C among all letters but N, U read as T; 0.0 if nothing is left. Other characters count as length."""
     u = F.replace(F.upper(seq), F.lit("N"), F.lit(""))
     n = F.length(u)
-    gc = n - F.length(F.translate(u, "GC", ""))
+    gc = 2 * n - F.length(F.replace(u, F.lit("G"), F.lit(""))) - F.length(F.replace(u, F.lit("C"), F.lit("")))
     return F.when(n == 0, F.lit(0.0)).otherwise(gc / n)
 
 
@@ -92,17 +94,33 @@ def ids_reverse_complement(ids: Column) -> Column:
 
 def base_counts(seq: Column) -> list[Column]:
     """Counts of A, C, G, T (with U), N and everything else, as named columns."""
-    u = F.translate(F.upper(seq), "U", "T")
-    n = F.length(u)
-    out = [(n - F.length(F.translate(u, b, ""))).cast("bigint").alias(f"n_{b.lower()}") for b in "ACGTN"]
-    return [*out, F.length(F.translate(u, "ACGTN", "")).cast("bigint").alias("n_other")]
+    u = F.replace(F.upper(seq), F.lit("U"), F.lit("T"))
+    counts = {b: (F.length(u) - F.length(F.replace(u, F.lit(b), F.lit("")))).cast("bigint") for b in "ACGTN"}
+    other = F.length(F.translate(u, "ACGTN", "")).cast("bigint")
+    return [*[c.alias(f"n_{b.lower()}") for b, c in counts.items()], other.alias("n_other")]
 
 
 def token_places(tokens: Column) -> Column:
-    """Structs (token, start, end): character places of tokens laid end to end."""
+    """Structs (token, start, end): character places of tokens laid end to end. The length of what stands before a token is
+    that of the joined tokens before it, added up in chunks, so long lists don't cost the square of their tokens."""
+    sizes = F.transform(tokens, lambda t: F.length(t).cast("bigint"))
+    return let(running_sums(sizes), lambda ends: F.transform(tokens, lambda t, i: F.struct(t.alias("token"), (F.get(ends, i) - F.length(t)).alias("token_start"), F.get(ends, i).alias("token_end"))))
+
+
+def running_sums(values: Column) -> Column:
+    """The sums of the first 1, 2, ... n whole numbers, in about n * sqrt(n) steps."""
     zero = F.lit(0).cast("bigint")
-    ends = F.aggregate(tokens, F.array(zero), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(t))))
-    return F.transform(tokens, lambda t, i: F.struct(t.alias("token"), F.get(ends, i).alias("token_start"), F.get(ends, i + 1).alias("token_end")))
+    total = lambda a: F.aggregate(a, zero, lambda s, x: s + x)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values))).cast("int"))
+
+    def of(chunks: Column) -> Column:
+        before = F.aggregate(chunks, F.array(zero), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + total(c))))
+        within = lambda c, b: F.transform(c, lambda x, i: b + total(F.slice(c, F.lit(1), i + 1)))
+        return let(before, lambda bs: F.flatten(F.transform(chunks, lambda c, k: within(c, F.get(bs, k)))))
+
+    chunks = lambda v, w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / w).cast("int") - 1), lambda k: F.slice(v, k * w + 1, w))
+    made = let(values, lambda v: let(width, lambda w: let(chunks(v, w), of)))
+    return F.when(F.size(values) > 0, made).otherwise(F.array().cast("array<bigint>"))
 
 
 def strand_place(anchor: Column, offset: Column, strand: Column) -> Column:

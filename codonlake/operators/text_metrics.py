@@ -303,14 +303,14 @@ def answer_curve(df: DataFrame, score: str, correct: str, answers: int | None =
     """(aupr, p_at_80, p_at_90): area under precision and recall of scored answers with precisions raised to the best at
     a higher recall, by the trapezoid rule, and precision at two recalls. Null without a correct answer."""
     steps = df.groupBy(F.col(score).alias("s")).agg(F.count_if(correct).alias("c"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = steps.select("s", F.sum("c").over(down).alias("cc"), F.sum("n").over(down).alias("cn"))
+    run = running_totals(steps, [], "s", {"c": "cc", "n": "cn"}, descending=True)
     total = df.agg(F.count_if(correct).alias("total") if answers is None else F.lit(answers).alias("total"))
-    pr = run.crossJoin(F.broadcast(total)).select("s", F.try_divide("cc", "total").alias("r"), (F.col("cc") / F.col("cn")).alias("p"))
-    best = pr.withColumn("p", F.max("p").over(Window.orderBy(F.desc("s")).rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    order = Window.orderBy(F.desc("s"))
-    area = (F.col("r") - F.coalesce(F.lag("r").over(order), F.lit(0.0))) * (F.col("p") + F.coalesce(F.lag("p").over(order), F.lit(1.0))) / 2
-    cut = best.withColumn("a", area)
+    raw = run.crossJoin(F.broadcast(total)).withColumn("raw", F.col("cc") / F.col("cn"))
+    best = running_totals(raw, [], "s", {"raw": "p"}, how="max")
+    # What stands before a score in order of falling scores comes from the running sums without the score's own rows.
+    first = F.col("cn") == F.col("n")
+    before = F.when(first, 1.0).otherwise(F.greatest(F.try_divide(F.col("cc") - F.col("c"), F.col("cn") - F.col("n")), F.col("p")))
+    cut = best.select(F.try_divide("cc", "total").alias("r"), "p", (F.try_divide("c", "total") * (F.col("p") + before) / 2).alias("a"))
     at = lambda x: F.coalesce(F.max(F.when(F.col("r") >= x, F.col("p"))), F.lit(0.0))
     return cut.agg(F.sum("a").alias("aupr"), at(0.8).alias("p_at_80"), at(0.9).alias("p_at_90"))
 

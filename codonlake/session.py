@@ -110,8 +110,9 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], total_rows:
     return joined.withColumn(out, (F.col("__own") + F.col("__before")).cast("bigint")).drop("__slice", "__s", "__own", "__before", *[f"__k_{k}" for k in keys])
 
 
-def running_totals(df: DataFrame, by: list[str], key: str, values: dict[str, str], descending: bool = False, parts: int = 64) -> DataFrame:
-    """Add running sums over each group in the order of ``key``: ``values`` maps columns to the names of their sums.
+def running_totals(df: DataFrame, by: list[str], key: str, values: dict[str, str], descending: bool = False, parts: int = 64, how: str = "sum") -> DataFrame:
+    """Add running sums (with ``how="max"`` running maxima) over each group in the order of ``key``: ``values`` maps columns
+    to the names of their sums.
 
     ``key`` is unique within a group. A group is cut into ranges at about ``parts`` quantiles of its keys; rows are summed
     within their range and start from the sum of the ranges before, so no task holds a group.
@@ -123,10 +124,13 @@ def running_totals(df: DataFrame, by: list[str], key: str, values: dict[str, str
     cut_rows = df.join(cuts, same) if by else df.crossJoin(F.broadcast(cuts))
     ranged = cut_rows.withColumn("__part", F.size(F.filter("__q", lambda q: q < F.col(key)))).drop("__q", *[f"__g_{c}" for c in by])
     order = F.desc if descending else F.asc
-    sums = ranged.groupBy(*by, "__part").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
+    of = {"sum": F.sum, "max": F.max}[how]
+    start = lambda c: F.coalesce(c, F.lit(0)) if how == "sum" else c
+    both_of = lambda a, b: a + b if how == "sum" else F.greatest(a, b)
+    sums = ranged.groupBy(*by, "__part").agg(*[of(v).alias(f"__t_{v}") for v in values])
     before = Window.partitionBy(*by).orderBy(order("__part")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*groups, F.col("__part").alias("__p"), *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__b_{v}") for v in values])
+    starts = sums.select(*groups, F.col("__part").alias("__p"), *[start(of(f"__t_{v}").over(before)).alias(f"__b_{v}") for v in values])
     within = Window.partitionBy(*by, "__part").orderBy(order(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = ranged.select("*", *[F.sum(v).over(within).alias(f"__o_{v}") for v in values])
+    own = ranged.select("*", *[of(v).over(within).alias(f"__o_{v}") for v in values])
     both = own.join(starts, [*same, F.col("__part") == F.col("__p")])
-    return both.select(*df.columns, *[(F.col(f"__o_{v}") + F.col(f"__b_{v}")).alias(out) for v, out in values.items()])
+    return both.select(*df.columns, *[both_of(F.col(f"__o_{v}"), F.col(f"__b_{v}")).alias(out) for v, out in values.items()])
