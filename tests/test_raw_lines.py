@@ -62,3 +62,18 @@ def test_table(spark):
     assert sorted(tuple(r) for r in rl.loaded(parsed).collect()) == [(2, "a.csv", 2, "ACGT", 1)] * 2 + [(6, "b.tsv", 2, "ACGT", 1)]
     assert sorted((r["line_id"], r["reason"]) for r in rl.rejected(parsed).collect()) == [(5, "sequence_value"), (8, "quoting"), (9, "column_count"), (10, "column_count")]
     assert rl.parse_lines(df.where("false")).collect() == []
+
+
+def test_legal_lines_are_those_the_program_finds_free():
+    import itertools
+
+    from codonlake.sources import raw_lines
+
+    for n in range(7):
+        for symbols in itertools.product("qdx", repeat=n):
+            line = "".join(symbols)
+            if "xx" in line:
+                continue
+            for fields in (1, 2, 3):
+                cost, edits = raw_lines._parse(line, fields)
+                assert (cost == 0) == (raw_lines.legal_fields(line) == fields) and (cost > 0 or edits == ()), (line, fields)
