@@ -7,6 +7,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codonlake.functions import text as tx
-from codonlake.session import running_totals
+from codonlake.session import cut, running_totals
 
 
 def _grams(items: list, n: int) -> Counter:
@@ -238,30 +240,132 @@ def smoothed_bleu(matches: DataFrame, lengths: DataFrame, most: int = 4, smooth:
 
 def nist(df: DataFrame, id_col: str, pred: Column, ref: Column, most: int = 5) -> DataFrame:
     """(nist): n-gram matches weighted by their information in all references, summed over orders, with the length
-    penalty that is 0.5 at two thirds of the reference length."""
-    grams = lambda items, s: F.flatten(F.array(*[_of_order(items, n, s) for n in range(1, most + 1)]))
-    rows = df.select(id_col, pred.alias("__p"), ref.alias("__r"))
-    each = rows.select(id_col, F.explode(F.concat(grams(F.col("__p"), 1), grams(F.col("__r"), 0))).alias("x")).select(id_col, "x.*")
-    c = each.groupBy(id_col, "n", "g", "h").agg(F.sum("s").alias("p"), F.sum(1 - F.col("s")).alias("r"))
-    corpus = c.groupBy("n", "g", "h").agg(F.sum("r").alias("count")).where("count > 0")
-    words = rows.agg(F.sum(F.size("__r")).alias("words"))
-    heads = corpus.select((F.col("n") + 1).alias("n"), F.col("g").alias("h"), F.col("count").alias("head"))
-    info = corpus.join(heads, ["n", "h"], "left").crossJoin(F.broadcast(words)).select("n", "g", F.log2(F.coalesce(F.col("head"), F.col("words")) / F.col("count")).alias("info"))
-    hits = c.where("p > 0 and r > 0").select("n", "g", F.least("p", "r").alias("m")).join(info, ["n", "g"]).groupBy("n").agg(F.sum(F.col("m") * F.col("info")).alias("v"))
-    totals = c.groupBy("n").agg(F.sum("p").alias("t")).where("t > 0")
-    score = totals.join(hits, "n", "left").agg(F.sum(F.coalesce("v", F.lit(0.0)) / F.col("t")).alias("s"))
-    size = rows.agg(F.sum(F.size("__p")).alias("c"), F.sum(F.size("__r")).alias("r"))
+    penalty that is 0.5 at two thirds of the reference length.
+
+    Only n-grams that some row has on both sides take part in the sum, and so does what is before their last word, which
+    matches too. They are found within the rows first. Those of the references are then counted in all references, as far
+    as a bit table lets them pass; one that passes by a clash has no match and adds nothing.
+    """
+    rows = df.select(F.coalesce(pred, F.array().cast("array<string>")).alias("__p"), F.coalesce(ref, F.array().cast("array<string>")).alias("__r"))
+    sums = rows.mapInArrow(lambda batches: _nist_matches(batches, most), "n int, g string, a bigint, b bigint").groupBy("n", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = cut(sums)
+    matched = found.where("g is not null")
+    size = min(MATCH_BITS, 1 << max(15, (64 * matched.count()).bit_length()))
+    bits = _bit_table(matched, size)
+    counts = rows.select("__r").mapInArrow(lambda batches: _nist_counts(batches, most, bits, size), "n int, g string, c bigint").groupBy("n", "g").agg(F.sum("c").alias("c"))
+    both = matched.join(counts, ["n", "g"]).select("n", "a", "b", F.log2(F.col("c").cast("double")).alias("l"))
+    value = lambda k: F.coalesce(F.sum(F.when(F.col("n") == k, -F.col("a") * F.col("l")).when(F.col("n") == k - 1, F.col("b") * F.col("l"))), F.lit(0.0))
+    values = both.agg(*[value(k).alias(f"v{k}") for k in range(1, most + 1)])
+    of = lambda k, c: F.coalesce(F.sum(F.when(F.col("g").isNull() & (F.col("n") == k), F.col(c))), F.lit(0))
+    hits = F.coalesce(F.sum(F.when(F.col("g").isNotNull() & (F.col("n") == 1), F.col("a"))), F.lit(0))
+    totals = found.agg(of(0, "a").alias("c"), of(0, "b").alias("r"), hits.alias("hits"), *[of(k, "a").alias(f"t{k}") for k in range(1, most + 1)])
+    share = lambda k: (F.col(f"v{k}") + (F.col("hits") * F.log2(F.greatest("r", F.lit(1)).cast("double")) if k == 1 else 0.0)) / F.col(f"t{k}")
+    score = reduce(lambda x, y: x + y, [F.when(F.col(f"t{k}") > 0, share(k)).otherwise(0.0) for k in range(1, most + 1)])
     ratio = F.least(F.lit(1.0), F.try_divide("c", "r"))
     beta = F.lit(math.log(0.5) / math.log(1.5) ** 2)
     penalty = F.when(ratio > 0, F.exp(beta * F.pow(F.log(ratio), F.lit(2)))).otherwise(0.0)
-    return score.crossJoin(size).select((F.col("s") * penalty).alias("nist"))
-
-
-def _of_order(items: Column, n: int, s: int) -> Column:
-    """Structs (n, g, h, s): n-grams with the n-gram less its last word."""
-    last = F.size(items) - (n - 1)
-    made = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(items, i, F.lit(n)), " ").alias("g"), F.array_join(F.slice(items, i, F.lit(n - 1)), " ").alias("h"), F.lit(s).alias("s")))
-    return F.when(last > 0, made).otherwise(F.array().cast("array<struct<n:int,g:string,h:string,s:int>>"))
+    return totals.crossJoin(F.broadcast(values)).select(F.when(F.col("t1") > 0, score * penalty).alias("nist"))
+
+
+#: Most bits of the table of n-grams that match; 8 MB. A fuller table lets more n-grams pass, no fewer.
+MATCH_BITS = 1 << 26
+#: Words whose n-grams are added up in memory before they leave a task.
+_WORDS_AT_ONCE = 1 << 20
+
+
+def _bit_table(grams: DataFrame, size: int) -> bytearray:
+    """A bit for each n-gram, by its checksum."""
+    place = F.crc32(F.col("g").cast("binary")).bitwiseAND(F.lit(size - 1)) + 1  # places of the bitmap functions begin at 1
+    words = grams.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("i")).groupBy("k").agg(F.bitmap_construct_agg("i").alias("m"))
+    table = bytearray(size // 8)
+    for r in words.toLocalIterator():
+        at = (r["k"] - 1) * len(r["m"])
+        table[at : at + len(r["m"])] = r["m"]
+    return table
+
+
+def _at(places: list[int], words: list[str], n: int) -> list[tuple[int, str]]:
+    """The n-grams at ``places`` that aren't cut off by the end."""
+    last = len(words) - n
+    return [(i, " ".join(words[i : i + n])) for i in places if i <= last]
+
+
+def _nist_matches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(n, g, a, b): matches of an n-gram and those of n-grams with one word more that begin with it; with a null n-gram
+    at n the n-grams of order n in texts, and at 0 the words of texts and of references."""
+    schema = pa.schema([("n", pa.int32()), ("g", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+    sums: dict[tuple[int, str | None], list[int]] = {}
+
+    def add(n: int, g: str | None, a: int, b: int) -> None:
+        have = sums.setdefault((n, g), [0, 0])
+        have[0] += a
+        have[1] += b
+
+    def flush() -> pa.RecordBatch:
+        rows = [(n, g, a, b) for (n, g), (a, b) in sums.items()]
+        sums.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        for p, r in zip(batch.column("__p"), batch.column("__r"), strict=True):
+            p, r = p.as_py(), r.as_py()
+            add(0, None, len(p), len(r))
+            for n in range(1, min(most, len(p)) + 1):
+                add(n, None, len(p) - n + 1, 0)
+            mine, theirs = list(range(len(p))), list(range(len(r)))
+            for n in range(1, most + 1):
+                own, other = _at(mine, p, n), _at(theirs, r, n)
+                have, wanted = Counter(g for _, g in own), Counter(g for _, g in other)
+                common = have & wanted
+                for g, c in common.items():
+                    add(n, g, c, 0)
+                    if n > 1:
+                        add(n - 1, g.rpartition(" ")[0], 0, c)
+                # A longer n-gram matches only where the one it begins with does.
+                mine, theirs = [i for i, g in own if g in common], [i for i, g in other if g in common]
+                if not mine:
+                    break
+            if len(sums) > _WORDS_AT_ONCE:
+                yield flush()
+    if sums:
+        yield flush()
+
+
+def _nist_counts(batches: Iterator[pa.RecordBatch], most: int, bits: bytearray, size: int) -> Iterator[pa.RecordBatch]:
+    """(n, g, c): how often the n-grams with a bit in the table are in the references."""
+    schema = pa.schema([("n", pa.int32()), ("g", pa.string()), ("c", pa.int64())])
+    sums: Counter[tuple[int, str]] = Counter()
+    known: dict[str, bool] = {}
+
+    def has(g: str) -> bool:
+        place = crc32(g.encode()) & (size - 1)
+        return bits[place >> 3] >> (place & 7) & 1 == 1
+
+    def has_word(w: str) -> bool:
+        if w not in known:
+            if len(known) >= _WORDS_AT_ONCE:
+                known.clear()
+            known[w] = has(w)
+        return known[w]
+
+    def flush() -> pa.RecordBatch:
+        rows = [(n, g, c) for (n, g), c in sums.items()]
+        sums.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        for r in batch.column("__r"):
+            r = r.as_py()
+            places = [i for i, w in enumerate(r) if has_word(w)]
+            sums.update((1, r[i]) for i in places)
+            for n in range(2, most + 1):
+                passed = [(i, g) for i, g in _at(places, r, n) if has(g)]
+                sums.update((n, g) for _, g in passed)
+                places = [i for i, _ in passed]
+            if len(sums) > _WORDS_AT_ONCE:
+                yield flush()
+    if sums:
+        yield flush()
 
 
 def word_alignment_score(pred: Column, ref: Column, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> Column:

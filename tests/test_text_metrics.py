@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -59,6 +60,22 @@ def test_nist_of_equal_texts_is_their_information(spark):
     assert math.isclose(tm.nist(df, "id", tx.words(F.col("pred")), tx.words(F.col("ref"))).first()["nist"], 1.0)
 
 
+def test_nist_takes_no_row_for_each_n_gram(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 40))), " ".join(rng.choices("abcdefghij", k=rng.randint(0, 40)))) for i in range(60)] + [(60, None, "a b"), (61, "a b", None), (62, "ab a\u00e9 b", "ab a\u00e9 b")]
+    df = spark.createDataFrame(rows, "id int, pred string, ref string").repartition(3)
+    grams = lambda t, n: Counter(tuple((t or "").split()[i : i + n]) for i in range(len((t or "").split()) - n + 1))
+    known = sum((grams(r, n) for _, _, r in rows for n in range(1, 6)), Counter())
+    c, words = (sum(len((t or "").split()) for t in side) for side in list(zip(*rows, strict=True))[1:])
+    want = 0.0
+    for n in range(1, 6):
+        hits = sum(k * math.log2((known[g[:-1]] if n > 1 else words) / known[g]) for _, p, r in rows for g, k in (grams(p, n) & grams(r, n)).items())
+        want += hits / sum(grams(p, n).total() for _, p, _ in rows)
+    out = tm.nist(df, "id", tx.words(F.col("pred")), tx.words(F.col("ref")))
+    assert math.isclose(out.first()["nist"], want * math.exp(math.log(0.5) / math.log(1.5) ** 2 * math.log(min(1, c / words)) ** 2), rel_tol=1e-9)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_answers(spark):
     df = spark.createDataFrame([(1, "The cat!", "cat"), (2, "a dog", "cat"), (3, "the", ""), (4, "x y", "y z")], "id int, p string, r string")
     got = {r["id"]: (r["exact"], r["f1"]) for r in tm.answer_f1(df, "id", "p", "r").collect()}
