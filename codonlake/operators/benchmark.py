@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,15 +44,22 @@ def rollup_metrics(df: DataFrame, label: str, value: str) -> DataFrame:
 
 
 def interpolated(points: DataFrame, by: list[str], x: str, y: str, grid: list[float]) -> DataFrame:
-    """(by..., x, y): a curve's value at each place of ``grid`` by linear interpolation; beyond its ends, the end's."""
-    places = points.select(*by).distinct().withColumn("x", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    both = points.select(*by, F.col(x).alias("x"), F.col(y).alias("y")).groupBy(*by, "x").agg(F.max("y").alias("y")).withColumn("__g", F.lit(False))
-    all_ = both.unionByName(places.select(*by, "x", F.lit(None).cast("double").alias("y"), F.lit(True).alias("__g")))
-    point = F.when(~F.col("__g"), F.struct("x", "y"))
-    w = Window.partitionBy(*by).orderBy("x", "__g")
-    low = F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    high = F.first(point, True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    at = all_.withColumn("__l", low).withColumn("__h", high).where("__g")
-    share = F.try_divide(F.col("x") - F.col("__l.x"), F.col("__h.x") - F.col("__l.x"))
-    value = F.when(F.col("__l").isNull(), F.col("__h.y")).when(F.col("__h").isNull() | share.isNull(), F.col("__l.y")).otherwise(F.col("__l.y") + share * (F.col("__h.y") - F.col("__l.y")))
+    """(by..., x, y): a curve's value at each place of ``grid`` by linear interpolation; beyond its ends, the end's.
+
+    Of the points between two places only the outer ones matter, so a curve comes down to a few points before it is looked
+    at as a whole.
+    """
+    places = sorted({float(g) for g in grid})
+    point = F.struct(F.col(x).cast("double").alias("x"), F.col(y).alias("y"))
+    known = points.select(*by, point.alias("p"))
+    px = F.col("p.x")
+    # 2i + 1 at a place, 2i below place i and above the one before.
+    part = F.coalesce(*[F.when(px < g, 2 * i).when(px == g, 2 * i + 1) for i, g in enumerate(places)], F.lit(2 * len(places)))
+    ends = known.groupBy(*by, F.when(px.isNotNull() & ~F.isnan(px), part).alias("__part")).agg(F.max("p").alias("hi"), F.max_by("p", F.struct(-px, F.col("p.y"))).alias("lo"))
+    least = lambda i: F.max_by(F.when(F.col("__part") > 2 * i, F.col("lo")), F.when(F.col("__part") > 2 * i, -F.col("__part")))
+    most = lambda i: F.max(F.when(F.col("__part") <= 2 * i + 1, F.col("hi")))
+    cells = [F.struct(F.lit(float(g)).alias("x"), most(i).alias("l"), least(i).alias("h")) for g in grid for i in [places.index(float(g))]]
+    at = ends.groupBy(*by).agg(F.array(*cells).alias("__c")).select(*by, F.explode("__c").alias("c")).select(*by, "c.*")
+    share = F.try_divide(F.col("x") - F.col("l.x"), F.col("h.x") - F.col("l.x"))
+    value = F.when(F.col("l").isNull(), F.col("h.y")).when(F.col("h").isNull() | share.isNull(), F.col("l.y")).otherwise(F.col("l.y") + share * (F.col("h.y") - F.col("l.y")))
     return at.select(*by, "x", value.alias("y"))

@@ -17,7 +17,7 @@ from codonlake.plans.datasets import hash_sql
 from codonlake.plans.evaluation import _COUNTS, _RATES, SCORED, STEPS, scored
 from codonlake.plans.mutants import EFFECTS
 from codonlake.plans.registry import query
-from codonlake.session import read_table, shared_dir
+from codonlake.session import cut, read_table, shared_dir
 from codonlake.streaming import predict as st
 
 _METRICS = ("accuracy", "precision", "recall", "f1", "mcc")
@@ -82,7 +82,8 @@ _GRID = [i / 20 for i in range(21)]
 
 @query("plot_curves", f"WITH {SCORED}, {STEPS}, pts AS (SELECT model, cn / all_n::double AS x, max(cp / all_p::double) AS y FROM steps GROUP BY ALL), grid AS (SELECT model, i / 20.0::double AS g FROM (SELECT DISTINCT model FROM pts) CROSS JOIN (SELECT unnest(range(0, 21)) AS i)), a AS (SELECT grid.model, g, arg_max({{'x': x, 'y': y}}, x) FILTER (x <= g) AS l, arg_min({{'x': x, 'y': y}}, x) FILTER (x >= g) AS h FROM grid JOIN pts USING (model) GROUP BY ALL) SELECT model, g AS x, round(CASE WHEN l IS NULL THEN h.y WHEN h IS NULL OR h.x = l.x THEN l.y ELSE l.y + (g - l.x) / (h.x - l.x) * (h.y - l.y) END, 6) AS y FROM a")
 def plot_curves(spark, sf):
-    out = be.interpolated(me.roc_points(scored(spark, sf), ["model"], "y", "margin"), ["model"], "fpr", "tpr", _GRID)
+    rows = cut(scored(spark, sf).select("model", "y", "margin"))  # read three times
+    out = be.interpolated(me.roc_points(rows, ["model"], "y", "margin"), ["model"], "fpr", "tpr", _GRID)
     return out.select("model", "x", F.round("y", 6).alias("y"))
 
 

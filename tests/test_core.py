@@ -235,6 +235,22 @@ def test_interpolated(spark):
     assert {r["x"]: r["y"] for r in be.interpolated(pts, ["g"], "x", "y", [0.0, 0.25, 0.5, 1.0]).collect()} == {0.0: 0.0, 0.25: 0.5, 0.5: 1.0, 1.0: 1.0}
 
 
+def test_interpolated_takes_no_window_over_a_curve(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.randint(2, 9) / rng.choice([10, 20]), rng.random()) for g in "ab" for _ in range(40)] + [("b", None, 0.5), ("c", None, 0.5), ("d", 0.45, 0.7)]
+    grid = [i / 20 for i in range(21)]
+    out = be.interpolated(spark.createDataFrame(rows, "g string, x double, y double").repartition(3), ["g"], "x", "y", grid)
+    got = {(r["g"], r["x"]): r["y"] for r in out.collect()}
+    want = {}
+    for g in "abcd":
+        top = {x: max(v for h, w, v in rows if h == g and w == x) for h, x, _ in rows if h == g and x is not None}
+        for x in grid:
+            low, high = max((w for w in top if w <= x), default=None), min((w for w in top if w >= x), default=None)
+            want[g, x] = None if not top else top[high] if low is None else top[low] if high in (None, low) else top[low] + (x - low) / (high - low) * (top[high] - top[low])
+    assert got.keys() == want.keys() and all(v == got[k] or abs(v - got[k]) < 1e-12 for k, v in want.items())
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ranking(spark):
     run = spark.createDataFrame([(1, "a", 3.0), (1, "b", 2.0), (1, "c", 1.0), (2, "a", 1.0)], "qid int, doc string, score double")
     rel = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (1, "z", 1), (2, "q", 0)], "qid int, doc string, rel int")
