@@ -87,3 +87,8 @@ def whole_mutants_and_sums(spark, tmp_path, alphabet, name):
 def test_sums_of_substitutions_with_n_are_those_of_whole_mutants(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ms, "LETTERS", 500)
     whole_mutants_and_sums(spark, tmp_path, "ACGTN", "mut_subst_n")
+
+
+def test_sums_of_substitutions_are_those_of_whole_mutants(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ms, "LANES", 100)
+    whole_mutants_and_sums(spark, tmp_path, "ACGT", "mut_subst")
