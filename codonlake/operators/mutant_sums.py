@@ -1,32 +1,20 @@
 """Counts, letters and order-free checksums of all substitutions of each sequence, without making the mutants.
 
-A mutant is its sequence up to the 64-letter block of the substitution, so the digest goes on from the state there, and
-the digests of many mutants go on side by side, a block a step. Each digest is that of the whole mutant.
+The digests take nearly all of the time and SQL has no step of a digest, so a Java function goes on with many side by side.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from hashlib import md5
+from pathlib import Path
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codonlake.session import spread
+from codonlake.session import java_function, spread
 
-# The public definition of MD5.
-_TURN = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
-_LEFT, _RIGHT = [np.uint32(s) for s in _TURN], [np.uint32(32 - s) for s in _TURN]
-_ADD = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
-_WORD = [(i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16 for i in range(64)]
-_START = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], "<u4")
-
-#: Digests that go on side by side, and letters whose mutants are taken together.
-LANES, LETTERS = 1 << 15, 1 << 19
+#: Digests that go on side by side, and letters whose mutants are kept at a time.
+LANES, LETTERS = 1 << 10, 1 << 18
 
 _SUMS = ("n", "letters", "mutants", "names")
 
@@ -34,154 +22,7 @@ _SUMS = ("n", "letters", "mutants", "names")
 def substitution_sums(df: DataFrame, id_col: str, seq: str, alphabet: str = "ACGT") -> DataFrame:
     """(id, n, letters, mutants, names) of what ``mutagenesis.substitutions`` gives: how many, their letters, and the sums
     of the first 32 bits of the MD5 digests of the mutants and of their names."""
-    rows = spread(df.where(F.length(seq) > 0).select(id_col, seq))
-    schema = T.StructType([rows.schema[id_col], *[T.StructField(c, T.LongType()) for c in _SUMS]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sums = row_sums(b.column(1).to_pylist(), alphabet)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x) for x in sums]], [id_col, *_SUMS])
-
-    return rows.mapInArrow(run, schema).groupBy(id_col).agg(*[F.sum(c).alias(c) for c in _SUMS])
-
-
-def row_sums(seqs: list[str], alphabet: str) -> np.ndarray:
-    """The four sums of each sequence, none of them empty."""
-    out = np.zeros((4, len(seqs)), np.int64)
-    plain = sorted((i for i, s in enumerate(seqs) if s.isascii()), key=lambda i: -len(seqs[i])) if alphabet.isascii() else []
-    for i in {*range(len(seqs))}.difference(plain):
-        out[:, i] = _one_by_one(seqs[i], alphabet)
-    part: list[int] = []
-    size = 0
-    for i in plain:
-        part.append(i)
-        size += len(seqs[i])
-        if size >= LETTERS:
-            out[:, part] = _side_by_side([seqs[j].encode() for j in part], alphabet)
-            part, size = [], 0
-    if part:
-        out[:, part] = _side_by_side([seqs[j].encode() for j in part], alphabet)
-    return out
-
-
-def _checksum(text: str) -> int:
-    return int.from_bytes(md5(text.encode()).digest()[:4])
-
-
-def _one_by_one(seq: str, alphabet: str) -> tuple[int, int, int, int]:
-    """The sums where letters aren't all bytes."""
-    n = mutants = names = end = 0
-    data, before = seq.encode(), md5()
-    for p, ref in enumerate(seq):
-        own = ref.encode()
-        end += len(own)
-        for alt in alphabet:
-            if alt != ref:
-                whole = before.copy()
-                whole.update(alt.encode() + data[end:])
-                n, mutants, names = n + 1, mutants + int.from_bytes(whole.digest()[:4]), names + _checksum(f"mut_{p}_{ref}_{alt}")
-        before.update(own)
-    return n, n * len(seq), mutants, names
-
-
-_name_sums: dict[tuple[str, str], np.ndarray] = {}
-
-
-def _names_at(ref: str, alphabet: str, last: int) -> np.ndarray:
-    """The sum over the other letters of the checksums of names, for each position up to ``last`` at least."""
-    known = _name_sums.get((ref, alphabet), np.zeros(0, np.int64))
-    if len(known) <= last:
-        new = range(len(known), max(1024, 2 ** last.bit_length()))
-        known = np.concatenate([known, [sum(_checksum(f"mut_{p}_{ref}_{alt}") for alt in alphabet if alt != ref) for p in new]])
-        _name_sums[ref, alphabet] = known
-    return known
-
-
-def _digest_on(state: list[np.ndarray], words: np.ndarray) -> list[np.ndarray]:
-    """The states after one more block of 16 words."""
-    a, b, c, d = (x.copy() for x in state)
-    f, turned, word = np.empty_like(a), np.empty_like(a), np.empty_like(words[0])
-    for i in range(64):
-        if i < 16:
-            np.bitwise_xor(c, d, out=f)
-            f &= b
-            f ^= d
-        elif i < 32:
-            np.bitwise_xor(b, c, out=f)
-            f &= d
-            f ^= c
-        elif i < 48:
-            np.bitwise_xor(b, c, out=f)
-            f ^= d
-        else:
-            np.invert(d, out=f)
-            f |= b
-            f ^= c
-        np.add(words[_WORD[i]], _ADD[i], out=word)
-        f += a
-        f += word
-        np.left_shift(f, _LEFT[i], out=turned)
-        np.right_shift(f, _RIGHT[i], out=f)
-        f |= turned
-        f += b
-        a, b, c, d, f = d, f, b, c, a
-    return [x + y for x, y in zip((a, b, c, d), state, strict=True)]
-
-
-def _side_by_side(seqs: list[bytes], alphabet: str) -> np.ndarray:
-    """The sums of ASCII sequences, the longest first."""
-    size = np.array([len(s) for s in seqs])
-    blocks_of = (size + 8) // 64 + 1
-    padded = b"".join(s + b"\x80" + bytes(64 * n - len(s) - 9) + (8 * len(s) % 2**64).to_bytes(8, "little") for s, n in zip(seqs, blocks_of.tolist(), strict=True))
-    blocks = np.frombuffer(padded, "<u4").reshape(-1, 16)
-    first = np.cumsum(blocks_of) - blocks_of
-    # The state before each block of the sequences themselves.
-    states = np.empty((len(blocks), 4), "<u4")
-    states[first] = _START
-    for k in range(int(blocks_of[0]) - 1):
-        at = first[: np.searchsorted(-blocks_of, -(k + 1))] + k
-        states[at + 1] = np.stack(_digest_on(list(states[at].T), np.ascontiguousarray(blocks[at].T)), 1)
-
-    letters = np.frombuffer(b"".join(seqs), np.uint8)
-    begin = np.cumsum(size) - size
-    row = np.repeat(np.arange(len(seqs)), size)
-    pos = np.arange(len(letters)) - begin[row]
-    block, left = first[row] + pos // 64, blocks_of[row] - pos // 64
-    base = np.frombuffer(alphabet.encode(), np.uint8)
-    place = np.full(256, len(base))
-    place[base] = np.arange(len(base))
-    code = place[letters]
-    mutants, others = np.empty(len(letters), np.int64), np.where(code < len(base), len(base) - 1, len(base))
-    for slots in (len(base) - 1, len(base)):
-        chosen = np.flatnonzero(others == slots)
-        chosen = chosen[np.argsort(-left[chosen], kind="stable")]
-        step = max(1, LANES // max(1, slots))
-        for i in range(0, len(chosen), step):
-            x = chosen[i : i + step]
-            alt = np.arange(slots)[:, None]
-            alt = base[alt + (alt >= code[x])]
-            mutants[x] = _mutant_sums(blocks, states, block[x], left[x], pos[x], letters[x] ^ alt)
-    names = np.empty(len(letters), np.int64)
-    for ref in np.unique(letters).tolist():
-        at = np.flatnonzero(letters == ref)
-        names[at] = _names_at(chr(ref), alphabet, int(pos[at].max()))[pos[at]]
-    n = np.add.reduceat(others, begin)
-    return np.stack([n, n * size, np.add.reduceat(mutants, begin), np.add.reduceat(names, begin)])
-
-
-def _mutant_sums(blocks: np.ndarray, states: np.ndarray, block: np.ndarray, left: np.ndarray, pos: np.ndarray, change: np.ndarray) -> np.ndarray:
-    """The sum of checksums of the mutants of each place; places are in order of falling numbers of blocks ``left``.
-    ``change`` has what turns the place's letter into each other one."""
-    shape = change.shape
-    words = np.repeat(blocks[block].T[:, None, :], shape[0], 1)
-    words[pos % 64 // 4, np.arange(shape[0])[:, None], np.arange(shape[1])] ^= change.astype("<u4") << (8 * (pos % 4)).astype("<u4")
-    state = _digest_on([np.repeat(x[None, :], shape[0], 0) for x in states[block].T], words)
-    out, going = np.empty(shape[1], np.int64), shape[1]
-    for k in range(1, int(left[0]) + 1):
-        more = int(np.searchsorted(-left, -k))
-        if more < going:
-            out[more:going] = state[0][:, more:].byteswap().sum(axis=0, dtype=np.int64)
-            state, going = [x[:, :more] for x in state], more
-        if more:
-            state = _digest_on(state, np.ascontiguousarray(blocks[block[:more] + k].T))
-    return out
+    name = java_function(df.sparkSession, Path(__file__).with_name("MutantSums.java"), T.ArrayType(T.LongType()))
+    sums = F.call_udf(name, F.col(seq), F.lit(alphabet), F.lit(LANES), F.lit(LETTERS))
+    rows = spread(df.where(F.length(seq) > 0).select(id_col, seq)).select(id_col, sums.alias("sums"))
+    return rows.groupBy(id_col).agg(*[F.sum(F.col("sums")[k]).alias(c) for k, c in enumerate(_SUMS)])

@@ -1,5 +1,6 @@
 import math
 import random
+from hashlib import md5
 
 import pytest
 
@@ -92,3 +93,19 @@ def test_sums_of_substitutions_with_n_are_those_of_whole_mutants(spark, tmp_path
 def test_sums_of_substitutions_are_those_of_whole_mutants(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ms, "LANES", 100)
     whole_mutants_and_sums(spark, tmp_path, "ACGT", "mut_subst")
+
+
+def test_long_mutants_are_digested_by_a_function_in_the_jvm(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ms, "LETTERS", 640)  # a long sequence goes in several lots
+    seqs = {n: "".join(random.Random(n).choice("ACGT") for _ in range(n)) for n in (639, 640, 641, 2500)}
+    spark.createDataFrame([*seqs.items()], "row_id bigint, sequence string").write.parquet(str(tmp_path / "dev.parquet"))
+    check = lambda text: int(md5(text.encode()).hexdigest()[:8], 16)
+    want = {}
+    for r, s in seqs.items():
+        sites = [(p, ref, alt) for p, ref in enumerate(s) for alt in "ACGT" if alt != ref]
+        want[r] = (r, len(sites), len(sites) * len(s), sum(check(s[:p] + alt + s[p + 1 :]) for p, _, alt in sites), sum(check(f"mut_{p}_{ref}_{alt}") for p, ref, alt in sites))
+    for session in (spark, spark, spark.newSession()):
+        out = registry.queries()["mut_subst"](session, str(tmp_path))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MutantSums(") == 1 and "Arrow" not in plan and "Python" not in plan
+        assert {r["row_id"]: tuple(r) for r in out.collect()} == want
